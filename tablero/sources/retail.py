@@ -76,7 +76,8 @@ PRODUCTOS = {
     "id": "p_partkey",
     "uuid": f"md5('prod-' || {_str('p_partkey')})",
     "nombre": "p_name",
-    "sku": f"'SKU-' || lpad({_str('p_partkey')}, greatest(6, length({_str('p_partkey')})), '0')",
+    "sku": f"'SKU-' || lpad({_str('p_partkey')}, "
+    f"CAST(greatest(6, length({_str('p_partkey')})) AS INT), '0')",
     "categoria": "p_type",
     "subcategoria": "split_part(p_name, ' ', 2)",
     "marca": "p_brand",
