@@ -41,12 +41,15 @@ def scaled(draw: Column, top: int | Column) -> Column:
     return F.shiftright(draw * top.cast("bigint") + F.lit(_HALF), 32)
 
 
+def pick(values: list[str], place: Column) -> Column:
+    """The value at a place counted from 0; the list becomes one constant array."""
+    words = F.split(F.lit(",".join(values)), ",")
+    return F.element_at(words, (place + F.lit(1)).cast("int"))
+
+
 def choice(draw: Column, values: list[str]) -> Column:
     """A value of the list; the first and the last have half weight."""
-    return F.element_at(
-        F.array(*[F.lit(v) for v in values]),
-        (scaled(draw, len(values) - 1) + F.lit(1)).cast("int"),
-    )
+    return pick(values, scaled(draw, len(values) - 1))
 
 
 def above(draw: Column, share: float) -> Column:

@@ -66,8 +66,7 @@ def full_name(gender: Column, first: Column, last: Column) -> Column:
 
 def _capped(draw: Column, last: int, values: list[str]) -> Column:
     """Rounded draw over 0 … last where the surplus places fall to the last value."""
-    place = F.least(scaled(draw, last), F.lit(len(values) - 1))
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (place + F.lit(1)).cast("int"))
+    return draws.pick(values, F.least(scaled(draw, last), F.lit(len(values) - 1)))
 
 
 def email(name: Column, row_id: Column, domain: Column) -> Column:
@@ -99,13 +98,16 @@ def names_by_index(df: DataFrame, genero: str, i: str, j: str) -> DataFrame:
 
     The lists are constants of twenty and ten rows, so both are broadcast.
     """
-    spark = df.sparkSession
-    given = spark.createDataFrame(
-        [("M", k, v) for k, v in enumerate(INDICE_M, 1)]
-        + [("F", k, v) for k, v in enumerate(INDICE_F, 1)],
-        "_g string, _i int, nombre string",
+    one = df.sparkSession.range(1)
+
+    def listed(words: list[str], place: str, value: str) -> DataFrame:
+        numbered = one.select(F.posexplode(F.split(F.lit(",".join(words)), ",")).alias("_n", value))
+        return numbered.select((F.col("_n") + F.lit(1)).alias(place), value)
+
+    given = listed(INDICE_M, "_i", "nombre").withColumn("_g", F.lit("M")).unionByName(
+        listed(INDICE_F, "_i", "nombre").withColumn("_g", F.lit("F"))
     )
-    last = spark.createDataFrame(list(enumerate(INDICE_APELLIDOS, 1)), "_j int, apellido string")
+    last = listed(INDICE_APELLIDOS, "_j", "apellido")
     return (
         df.join(F.broadcast(given), (F.col(genero) == F.col("_g")) & (F.col(i) == F.col("_i")))
         .join(F.broadcast(last), F.col(j) == F.col("_j"))

@@ -123,29 +123,30 @@ def last_twelve_months(t: Tables, as_of: dt.date) -> DataFrame:
 def fact_export(t: Tables, as_of: dt.date) -> DataFrame:
     """Denormalised facts of the last twelve months, one row per order line.
 
-    Left unsorted: the consumer stores it by month (see ``sinks.write_fact_export``).
+    Orders without lines are a branch of their own: the inner join lets the runtime split an
+    order with very many lines, which the inner side of an outer join would not allow. Left
+    unsorted; the consumer stores it by month (see ``sinks.write_fact_export``).
     """
-    orders = recent(t, "ordenes", periods.shift_months(as_of, -12)).select(
-        F.col("id").alias("orden_id"),
-        F.col("uuid").alias("orden_uuid"),
-        "fecha_orden",
-        "monto_total",
-        "estado",
-        "estado_pago",
-        "cliente_id",
-        F.col("vendedor_id").alias("orden_vendedor"),
-    )
     client = t["clientes"].select(
         F.col("id").alias("cliente_id"), "segmento", "industria", "tamano_empresa"
     )
     rep = t["vendedores"].select(
         F.col("id").alias("vendedor_id"), F.col("nombre").alias("nombre_vendedor"), "equipo"
     )
-    line = order_lines(t).select("orden_id", "producto_id", "cantidad", "total_linea")
-    return (
-        orders.join(client, "cliente_id")
+    orders = (
+        recent(t, "ordenes", periods.shift_months(as_of, -12))
+        .select(
+            F.col("id").alias("orden_id"),
+            F.col("uuid").alias("orden_uuid"),
+            "fecha_orden",
+            "monto_total",
+            "estado",
+            "estado_pago",
+            "cliente_id",
+            F.col("vendedor_id").alias("orden_vendedor"),
+        )
+        .join(client, "cliente_id")
         .join(rep, F.col("orden_vendedor") == F.col("vendedor_id"), "left")
-        .join(line, "orden_id", "left")
         .select(
             "orden_id",
             "orden_uuid",
@@ -160,8 +161,9 @@ def fact_export(t: Tables, as_of: dt.date) -> DataFrame:
             "vendedor_id",
             "nombre_vendedor",
             "equipo",
-            "producto_id",
-            "cantidad",
-            "total_linea",
         )
     )
+    line = order_lines(t).select("orden_id", "producto_id", "cantidad", "total_linea")
+    with_lines = orders.join(line, "orden_id")
+    without = orders.join(line.select("orden_id").distinct(), "orden_id", "left_anti")
+    return with_lines.unionByName(without, allowMissingColumns=True)

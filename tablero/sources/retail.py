@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablero import schemas
 from tablero.functions import periods
+from tablero.session import split_hot_keys
 
 AS_OF = dt.date(2001, 7, 31)
 
@@ -227,6 +228,7 @@ class RetailModel(Mapping[str, DataFrame]):
     """The ten mapped tables, built on first use from the Parquet files below ``path``."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
+        split_hot_keys(spark)
         self.spark = spark
         self.path = path
         self._built: dict[str, DataFrame] = {}
@@ -298,22 +300,13 @@ class RetailModel(Mapping[str, DataFrame]):
         return self._build_from(columns, base, table)
 
     def _build_from(self, columns: dict[str, str], base: DataFrame, table: str) -> DataFrame:
-        values = {"ts": "TIMESTAMP_NTZ", "ntz": "_NTZ", "reps": "reps",
-                  "line_id": "monotonically_increasing_id()"}
+        fill = {"ts": "TIMESTAMP_NTZ", "ntz": "_NTZ", "reps": "_reps",
+                "line_id": "monotonically_increasing_id()"}
+        if any("{reps}" in text for text in columns.values()):
+            base = base.withColumn("_reps", self.raw("supplier").select(F.count("*")).scalar())
         exprs = []
-        for name, text in columns.items():
-            if "{reps}" in text:
-                reps = self.raw("supplier").select(F.count("*")).scalar()
-                column = F.when(F.col("o_orderkey") % 5 != 0,
-                                F.floor(F.col("o_orderkey") / 7).cast("bigint") % reps)
-            else:
-                column = F.expr(text.format(**values) if "{" in text else text)
-            exprs.append(column.alias(name))
-        typed = base.select(*exprs)
-        declared = schemas.schema(table)
-        return typed.select(
-            *[
-                (F.col(f.name) if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in declared
-            ]
-        )
+        for field in schemas.schema(table):
+            text = columns.get(field.name, "NULL")
+            text = text.format(**fill) if "{" in text else text
+            exprs.append(f"CAST({text} AS {field.dataType.simpleString()}) AS {field.name}")
+        return base.selectExpr(*exprs)

@@ -6,10 +6,11 @@ import datetime as dt
 import uuid
 from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablero import schemas
 from tablero.functions import periods
+from tablero.session import split_hot_keys
 
 # The moment column a date filter applies to.
 DATE_COLUMN = {
@@ -39,6 +40,7 @@ class StoredTables(Mapping[str, DataFrame]):
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
+        split_hot_keys(spark)
         self.spark = spark
         self.path = path
 
@@ -51,7 +53,7 @@ class StoredTables(Mapping[str, DataFrame]):
     def _read(self, table: str) -> DataFrame:
         declared = schemas.schema(table)
         if table == "ordenes":
-            declared = declared.add("mes", "date")
+            declared = T.StructType([*declared.fields, T.StructField("mes", T.DateType())])
         return self.spark.read.schema(declared).parquet(f"{self.path}/{table}")
 
     def __getitem__(self, table: str) -> DataFrame:
