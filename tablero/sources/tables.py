@@ -6,6 +6,7 @@ import datetime as dt
 import uuid
 from collections.abc import Iterator, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablero import schemas
@@ -36,7 +37,8 @@ def order_lines(t: Mapping[str, DataFrame]) -> DataFrame:
 class StoredTables(Mapping[str, DataFrame]):
     """Typed scans of the tables stored below ``path``, one folder per table.
 
-    ``ordenes`` is stored by month (column ``mes``), so date filters prune whole folders.
+    ``ordenes`` is stored by month (column ``mes``), so date filters prune whole folders. A
+    table that was never written is empty.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -54,7 +56,12 @@ class StoredTables(Mapping[str, DataFrame]):
         declared = schemas.schema(table)
         if table == "ordenes":
             declared = T.StructType([*declared.fields, T.StructField("mes", T.DateType())])
-        return self.spark.read.schema(declared).parquet(f"{self.path}/{table}")
+        try:
+            return self.spark.read.schema(declared).parquet(f"{self.path}/{table}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], declared)
 
     def __getitem__(self, table: str) -> DataFrame:
         if table not in schemas.TABLES:
