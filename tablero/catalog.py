@@ -8,7 +8,7 @@ from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablero.functions import periods
+from tablero.functions import money, periods
 from tablero.operators import (
     campaigns, clients, forecasts, generation, integrity, payments, products, reports, reps,
     sales, trends,
@@ -18,6 +18,7 @@ from tablero.plans.refresh import refresh_materialized
 from tablero.session import scratch_path
 from tablero.sources.calendar import calendar
 from tablero.sources.retail import AS_OF, EXPRESSIONS, RetailModel
+from tablero.sources.sinks import write_fact_export
 
 Tables = Mapping[str, DataFrame]
 Operator = Callable[[Tables, dt.date], DataFrame]
@@ -135,8 +136,7 @@ def _order_totals_delta(spark: SparkSession, path: str) -> DataFrame:
     items = t["items_orden"]
     kept = items.filter(F.col("cantidad_devuelta") == 0)
     deleted = items.filter(F.col("cantidad_devuelta") > 0)
-    changed = integrity.changed_orders(items.limit(0), deleted)
-    return integrity.order_totals(t["ordenes"], kept, changed, now=NOW).select("id", "monto_total")
+    return integrity.order_totals(t["ordenes"], kept, deleted, now=NOW).select("id", "monto_total")
 
 
 def _client_ltv(spark: SparkSession, path: str) -> DataFrame:
@@ -214,6 +214,17 @@ def _calendar(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _stored_export(spark: SparkSession, path: str) -> DataFrame:
+    """The fact export stored by month: rows and line revenue per stored month."""
+    target = scratch_path(spark, "export")
+    write_fact_export(trends.fact_export(RetailModel(spark, path), AS_OF), target)
+    return (
+        spark.read.parquet(target)
+        .groupBy(F.col("mes").cast("date").alias("mes"))
+        .agg(F.count(F.lit(1)).alias("filas"), money.total(F.col("total_linea")).alias("importe"))
+    )
+
+
 # Generators, sized and keyed by the given tables ------------------------------------------
 
 
@@ -307,6 +318,7 @@ def _generate_all(spark: SparkSession, path: str) -> DataFrame:
 JOBS: dict[str, Query] = {
     "src_tables": _typed_tables,
     "src_calendar": _calendar,
+    "sink_fact_export": _stored_export,
     "gen_nombre": _made_names,
     "gen_nombre_por_indices": _names_by_index,
     "gen_email": _made_emails,

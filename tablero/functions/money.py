@@ -49,7 +49,7 @@ def mean(num: Column, n: Column) -> Column:
 
 
 def mean6(num: Column, n: Column) -> Column:
-    """Average the reference leaves unrounded: six decimals."""
+    """Average that is not rounded for display: six decimals."""
     return ratio(num, n, 6, AVG6)
 
 

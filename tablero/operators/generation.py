@@ -89,8 +89,8 @@ def _moment(day: Column) -> Column:
     return day.cast("timestamp_ntz")
 
 
-def _ids(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(1, n + 1)
+def _ids(spark: SparkSession, n: int, first_id: int) -> DataFrame:
+    return spark.range(first_id, first_id + n)
 
 
 def names_by_index(df: DataFrame, genero: str, i: str, j: str) -> DataFrame:
@@ -147,9 +147,13 @@ def client_rows(ids: DataFrame, as_of: dt.date, seed: int = 0) -> DataFrame:
 
 
 def generate_clients(
-    spark: SparkSession, n: int = 500, as_of: dt.date | None = None, seed: int = 0
+    spark: SparkSession,
+    n: int = 500,
+    as_of: dt.date | None = None,
+    seed: int = 0,
+    first_id: int = 1,
 ) -> DataFrame:
-    return client_rows(_ids(spark, n), as_of or dt.date.today(), seed)
+    return client_rows(_ids(spark, n, first_id), as_of or dt.date.today(), seed)
 
 
 def product_rows(ids: DataFrame, as_of: dt.date, seed: int = 0) -> DataFrame:
@@ -192,9 +196,13 @@ def product_rows(ids: DataFrame, as_of: dt.date, seed: int = 0) -> DataFrame:
 
 
 def generate_products(
-    spark: SparkSession, n: int = 200, as_of: dt.date | None = None, seed: int = 0
+    spark: SparkSession,
+    n: int = 200,
+    as_of: dt.date | None = None,
+    seed: int = 0,
+    first_id: int = 1,
 ) -> DataFrame:
-    return product_rows(_ids(spark, n), as_of or dt.date.today(), seed)
+    return product_rows(_ids(spark, n, first_id), as_of or dt.date.today(), seed)
 
 
 def rep_rows(ids: DataFrame, as_of: dt.date, seed: int = 0) -> DataFrame:
@@ -224,9 +232,13 @@ def rep_rows(ids: DataFrame, as_of: dt.date, seed: int = 0) -> DataFrame:
 
 
 def generate_reps(
-    spark: SparkSession, n: int = 50, as_of: dt.date | None = None, seed: int = 0
+    spark: SparkSession,
+    n: int = 50,
+    as_of: dt.date | None = None,
+    seed: int = 0,
+    first_id: int = 1,
 ) -> DataFrame:
-    return rep_rows(_ids(spark, n), as_of or dt.date.today(), seed)
+    return rep_rows(_ids(spark, n, first_id), as_of or dt.date.today(), seed)
 
 
 def order_state(draw: Column) -> Column:
@@ -320,8 +332,9 @@ def generate_orders(
     dias_atras: int = 365,
     as_of: dt.date | None = None,
     seed: int = 0,
+    first_id: int = 1,
 ) -> DataFrame:
-    rows = order_rows(_ids(spark, n), as_of or dt.date.today(), dias_atras, seed)
+    rows = order_rows(_ids(spark, n, first_id), as_of or dt.date.today(), dias_atras, seed)
     return assign_parties(rows, t)
 
 
@@ -368,22 +381,26 @@ def generate_items(orders: DataFrame, products: DataFrame, seed: int = 0) -> Dat
     return conform(with_line_total(rows), "items_orden")
 
 
-def generate_payments(orders: DataFrame, as_of: dt.date, seed: int = 0) -> DataFrame:
+def generate_payments(
+    orders: DataFrame, as_of: dt.date, seed: int = 0, first_id: int = 1
+) -> DataFrame:
     """One payment per order that is paid, partly paid or overdue and has a total.
 
-    About 70 % pay in full, the others 30 to 100 % of the total.
+    About 70 % pay in full, the others 30 to 100 % of the total. Payment ids follow the order
+    ids, shifted to begin at ``first_id``.
     """
     due = F.col("estado_pago").isin("pagado", "parcial", "vencido") & (F.col("monto_total") > 0)
     total = F.col("monto_total")
     share = amount(u(1), 300_000, 700_000, 6, "decimal(7,6)")
     part = (total * share).cast("decimal(15,2)")
     day = _days_before(as_of, scaled(u(3), 365))
-    rows = draws.with_draws(
-        orders.filter(due).select("id", "monto_total"), "pagos", seed, 5, "id"
-    ).select(
+    charged = orders.filter(due).select(
+        (F.col("id") + F.lit(first_id - 1)).alias("id"), F.col("id").alias("orden_id"), "monto_total"
+    )
+    rows = draws.with_draws(charged, "pagos", seed, 5, "id").select(
         "id",
         draws.row_uuid("pagos", seed, "id").alias("uuid"),
-        F.col("id").alias("orden_id"),
+        "orden_id",
         F.when(above(u(0), 0.3), total).otherwise(part).alias("monto"),
         _moment(day).alias("fecha_pago"),
         choice(u(2), schemas.METODOS_PAGO).alias("metodo_pago"),

@@ -115,6 +115,10 @@ SQL["src_tables"] = tables(*EXPRESSIONS) + "\n" + "\nUNION ALL ".join(
     f"CAST({len(EXPRESSIONS[t])} AS INTEGER) AS columnas_con_datos FROM {t}" for t in EXPRESSIONS
 )
 
+SQL["sink_fact_export"] = f"""SELECT CAST(date_trunc('month', fecha_orden) AS DATE) AS mes,
+  count(*) AS filas, CAST(sum(total_linea) AS DECIMAL(25,2)) AS importe
+FROM ({VIEWS["q23_export_hechos"]}) GROUP BY 1"""
+
 SQL["src_calendar"] = f"""{tables("ordenes")},
 days AS (SELECT CAST(d AS DATE) AS fecha FROM range({AS_OF} - INTERVAL '3 years',
   {AS_OF} + INTERVAL '1 year' + INTERVAL '1 day', INTERVAL '1 day') r(d)),

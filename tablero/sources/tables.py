@@ -92,18 +92,28 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def overwrite(df: DataFrame, path: str, table: str) -> None:
-    """Clean-then-insert load of one table.
+    """Clean-then-insert load of one table."""
+    _write(df, path, table, "overwrite")
 
-    ``ordenes`` goes out by month; the rebalance step lets the runtime split a month that
-    holds far more rows than the others instead of writing it from one task.
+
+def append(df: DataFrame, path: str, table: str) -> None:
+    """Insert without cleaning."""
+    _write(df, path, table, "append")
+
+
+def _write(df: DataFrame, path: str, table: str, mode: str) -> None:
+    """Write typed rows; ``ordenes`` goes out by month.
+
+    The rebalance step lets the runtime split a month that holds far more rows than the
+    others instead of writing it from one task.
     """
     out = conform(df, table)
     target = f"{path}/{table}"
     if table == "ordenes":
         out = out.withColumn("mes", periods.month_of(F.col("fecha_orden"))).hint("rebalance", "mes")
-        out.write.mode("overwrite").partitionBy("mes").parquet(target)
+        out.write.mode(mode).partitionBy("mes").parquet(target)
     else:
-        out.write.mode("overwrite").parquet(target)
+        out.write.mode(mode).parquet(target)
 
 
 def replace_from_itself(df: DataFrame, path: str, table: str) -> None:
