@@ -167,8 +167,8 @@ def _orphans(t: Tables, ref: schemas.Reference) -> DataFrame:
 def delete_keys(t: Tables, table: str, keys: DataFrame) -> dict[str, DataFrame]:
     """Tables after deleting ``keys`` (column ``id``) from ``table``.
 
-    Rows that refer to a deleted key are deleted too, lose the reference, or forbid the
-    deletion, as the reference declares. Only the tables that change are returned.
+    Rows that refer to a deleted key are deleted too, lose the link, or forbid the
+    deletion, as the schema declares for that column. Only the tables that change are returned.
     """
     keys = keys.select("id").distinct()
     for ref in _references(table, t):
