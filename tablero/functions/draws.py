@@ -13,12 +13,12 @@ SPAN = 1 << 32
 _HALF = SPAN // 2
 
 
-def with_draws(df: DataFrame, purpose: str, seed: int, count: int, *keys: str) -> DataFrame:
+def with_draws(df: DataFrame, purpose: str, seed: int, count: int, key: str) -> DataFrame:
     """Add draws ``_u0`` … ``_u<count-1>``, each uniform over 0 … 2^32-1."""
     keyed = df.withColumns(
         {
             f"_h{i}": F.md5(
-                F.concat_ws("|", F.lit(f"{seed}|{purpose}|{i}"), *[F.col(k) for k in keys])
+                F.concat_ws("|", F.lit(f"{seed}|{purpose}|{i}"), F.col(key))
             )
             for i in range((count + 3) // 4)
         }

@@ -89,8 +89,17 @@ def _moment(day: Column) -> Column:
     return day.cast("timestamp_ntz")
 
 
-def _ids(spark: SparkSession, n: int, first_id: int) -> DataFrame:
-    return spark.range(first_id, first_id + n)
+# Rows one task generates: few enough to spread a small load over the cores, and for large
+# loads enough that a task writes a file worth reading.
+_SMALL_TASK = 20_000
+_LARGE_TASK = 4_000_000
+
+
+def ids(spark: SparkSession, n: int, first_id: int = 1) -> DataFrame:
+    """``n`` consecutive ids, cut into tasks by their number."""
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(1, min(n // _SMALL_TASK, cores), n // _LARGE_TASK)
+    return spark.range(first_id, first_id + n, 1, tasks)
 
 
 def names_by_index(df: DataFrame, genero: str, i: str, j: str) -> DataFrame:
@@ -116,11 +125,11 @@ def names_by_index(df: DataFrame, genero: str, i: str, j: str) -> DataFrame:
     )
 
 
-def client_rows(ids: DataFrame, as_of: dt.date, seed: int = 0) -> DataFrame:
+def client_rows(keys: DataFrame, as_of: dt.date, seed: int = 0) -> DataFrame:
     """One client per ``id``."""
     name = full_name(u(0), u(1), u(2))
     segment = choice(u(6), schemas.SEGMENTOS)
-    rows = draws.with_draws(ids, "clientes", seed, 15, "id").withColumns(
+    rows = draws.with_draws(keys, "clientes", seed, 15, "id").withColumns(
         {"nombre": name, "segmento": segment}
     )
     rows = rows.select(
@@ -153,17 +162,17 @@ def generate_clients(
     seed: int = 0,
     first_id: int = 1,
 ) -> DataFrame:
-    return client_rows(_ids(spark, n, first_id), as_of or dt.date.today(), seed)
+    return client_rows(ids(spark, n, first_id), as_of or dt.date.today(), seed)
 
 
-def product_rows(ids: DataFrame, as_of: dt.date, seed: int = 0) -> DataFrame:
+def product_rows(keys: DataFrame, as_of: dt.date, seed: int = 0) -> DataFrame:
     """One product per ``id``; the subcategory follows the category."""
     category = F.col("categoria")
     sub = F.lit("Otro")
     for value, subs in SUBCATEGORIAS.items():
         sub = F.when(category == F.lit(value), choice(u(1), subs)).otherwise(sub)
     rows = (
-        draws.with_draws(ids, "productos", seed, 13, "id")
+        draws.with_draws(keys, "productos", seed, 13, "id")
         .withColumns({"categoria": choice(u(0), CATEGORIAS), "marca": choice(u(2), MARCAS)})
         .withColumn("subcategoria", sub)
     )
@@ -202,14 +211,14 @@ def generate_products(
     seed: int = 0,
     first_id: int = 1,
 ) -> DataFrame:
-    return product_rows(_ids(spark, n, first_id), as_of or dt.date.today(), seed)
+    return product_rows(ids(spark, n, first_id), as_of or dt.date.today(), seed)
 
 
-def rep_rows(ids: DataFrame, as_of: dt.date, seed: int = 0) -> DataFrame:
+def rep_rows(keys: DataFrame, as_of: dt.date, seed: int = 0) -> DataFrame:
     """One sales rep per ``id``; about 30 % report to a rep with a lower id."""
     row_id = F.col("id")
     boss = draws.position(u(9), u(10), row_id - F.lit(1)) + F.lit(1)
-    rows = draws.with_draws(ids, "vendedores", seed, 15, "id").withColumn(
+    rows = draws.with_draws(keys, "vendedores", seed, 15, "id").withColumn(
         "nombre", full_name(u(0), u(1), u(2))
     )
     rows = rows.select(
@@ -238,7 +247,7 @@ def generate_reps(
     seed: int = 0,
     first_id: int = 1,
 ) -> DataFrame:
-    return rep_rows(_ids(spark, n, first_id), as_of or dt.date.today(), seed)
+    return rep_rows(ids(spark, n, first_id), as_of or dt.date.today(), seed)
 
 
 def order_state(draw: Column) -> Column:
@@ -253,7 +262,7 @@ def order_state(draw: Column) -> Column:
 
 
 def order_rows(
-    ids: DataFrame, as_of: dt.date, dias_atras: int = 365, seed: int = 0
+    keys: DataFrame, as_of: dt.date, dias_atras: int = 365, seed: int = 0
 ) -> DataFrame:
     """Orders without client and rep: everything a row can tell from its own id."""
     state = F.col("estado")
@@ -267,7 +276,7 @@ def order_rows(
         F.lit(0).cast("decimal(5,2)")
     )
     return (
-        draws.with_draws(ids, "ordenes", seed, 13, "id")
+        draws.with_draws(keys, "ordenes", seed, 13, "id")
         .withColumn("estado", order_state(u(0)))
         .select(
             "id",
@@ -334,7 +343,7 @@ def generate_orders(
     seed: int = 0,
     first_id: int = 1,
 ) -> DataFrame:
-    rows = order_rows(_ids(spark, n, first_id), as_of or dt.date.today(), dias_atras, seed)
+    rows = order_rows(ids(spark, n, first_id), as_of or dt.date.today(), dias_atras, seed)
     return assign_parties(rows, t)
 
 
@@ -351,6 +360,7 @@ def generate_items(orders: DataFrame, products: DataFrame, seed: int = 0) -> Dat
             "estado",
             F.explode(F.sequence(F.lit(1), lines.cast("int"))).alias("linea"),
         )
+        .withColumn("id", (F.col("orden_id") - F.lit(1)) * F.lit(MAX_LINES) + F.col("linea"))
     )
     product = _numbered_active(products, "precio_lista").select(
         F.col("_lugar").alias("_lp"), F.col("id").alias("producto_id"), "precio_lista"
@@ -361,12 +371,12 @@ def generate_items(orders: DataFrame, products: DataFrame, seed: int = 0) -> Dat
         (state == F.lit("devuelto")) & above(u(5), 0.5), scaled(u(6), F.col("cantidad"))
     ).otherwise(F.lit(0))
     rows = (
-        draws.with_draws(opened, "items", seed, 7, "orden_id", "linea")
+        draws.with_draws(opened, "items", seed, 7, "id")
         .withColumn("_pp", draws.position(u(0), u(1), _active_count(products)))
         .join(product, F.col("_pp") == F.col("_lp"))
         .withColumn("cantidad", quantity.cast("int"))
         .select(
-            ((F.col("orden_id") - F.lit(1)) * F.lit(MAX_LINES) + F.col("linea")).alias("id"),
+            "id",
             "orden_id",
             "producto_id",
             "cantidad",

@@ -188,7 +188,7 @@ SQL["gen_ordenes"] = f"""{tables("clientes", "vendedores")},
 {_orders(_FROM_ORDERS)}
 SELECT * FROM made"""
 
-_K = "orden_id || '|' || linea"
+_K = "((orden_id - 1) * 8 + linea)"
 _ITEMS = f"""active_p AS (
   SELECT id AS pid, precio_lista, row_number() OVER (ORDER BY id) - 1 AS n
   FROM productos WHERE activo

@@ -53,7 +53,7 @@ class Loader:
         Totals and lifetime values are computed once per load instead of once per row.
         """
         first = self._first_id("ordenes", limpiar)
-        ids = self.spark.range(first, first + cantidad)
+        ids = generation.ids(self.spark, cantidad, first)
         rows = generation.order_rows(ids, self.as_of, dias_atras, self.seed)
         lines = generation.generate_items(rows, self.t["productos"], self.seed)
         first_line = (first - 1) * generation.MAX_LINES + 1
