@@ -1,34 +1,57 @@
 """Seeded draws: reproducible pseudo-random columns computed from a row's own key.
 
 A draw depends on the seed, its purpose and the key only, so rows come out the same under
-any partitioning and when a lost executor's work is repeated. MD5 gives four 32-bit draws
-per hash; everything after that is integer arithmetic.
+any partitioning and when a lost executor's work is repeated. The key is mixed once into two
+words, a cubic and a quadratic congruence over two primes, and every draw adds them up with
+factors of its own over a third prime. That is bigint arithmetic only: it compiles into a
+small row loop and reads the same in any SQL dialect.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPAN = 1 << 32
 _HALF = SPAN // 2
 
+# The largest primes below 2^30 (two of them) and below 2^32: products of two remainders and
+# their sums stay within a bigint.
+_P, _Q, _R = (1 << 30) - 35, (1 << 30) - 41, (1 << 32) - 5
+
+
+def _factors(purpose: str, seed: int, part: str, count: int) -> list[int]:
+    """Coefficients that set one purpose and one draw apart from all others."""
+    digest = hashlib.sha512(f"{seed}|{purpose}|{part}".encode()).hexdigest()
+    return [int(digest[8 * k : 8 * k + 8], 16) % (_Q - 1) + 1 for k in range(count)]
+
+
+def words_sql(purpose: str, seed: int, key: str) -> tuple[str, str]:
+    """The two mixed words of a bigint key."""
+    a, b, c, d, e, f, k, m, n, s = _factors(purpose, seed, "palabras", 10)
+    x, y = f"({key} % {_P})", f"({key} % {_Q})"
+    cubic = (f"(({x} * {a} + {b}) % {_P}) * (({x} * {c} + {d}) % {_P}) % {_P}"
+             f" * (({x} * {e} + {f}) % {_P}) % {_P}")
+    quadratic = f"(({y} * {k} + {m}) % {_Q}) * (({y} * {n} + {s}) % {_Q}) % {_Q}"
+    return cubic, quadratic
+
+
+def draw_sql(purpose: str, seed: int, i: int, words: tuple[str, str]) -> str:
+    """Draw ``i``: 0 … 2^32-6, evenly spread and unrelated to the other draws."""
+    s, t, w = _factors(purpose, seed, str(i), 3)
+    return f"(({words[0]}) * {s} + ({words[1]}) * {t} + {w}) % {_R}"
+
 
 def with_draws(df: DataFrame, purpose: str, seed: int, count: int, key: str) -> DataFrame:
-    """Add draws ``_u0`` … ``_u<count-1>``, each uniform over 0 … 2^32-1."""
-    keyed = df.withColumns(
-        {
-            f"_h{i}": F.md5(
-                F.concat_ws("|", F.lit(f"{seed}|{purpose}|{i}"), F.col(key))
-            )
-            for i in range((count + 3) // 4)
-        }
+    """Add draws ``_u0`` … ``_u<count-1>`` of a bigint key."""
+    words = ("_w0", "_w1")
+    mixed = df.withColumns(
+        {name: F.expr(text) for name, text in zip(words, words_sql(purpose, seed, key))}
+    )
+    return mixed.withColumns(
+        {f"_u{i}": F.expr(draw_sql(purpose, seed, i, words)) for i in range(count)}
     )
-    draws = {
-        f"_u{i}": F.conv(F.substr(F.col(f"_h{i // 4}"), F.lit(1 + 8 * (i % 4)), F.lit(8)), 16, 10)
-        .cast("bigint")
-        for i in range(count)
-    }
-    return keyed.withColumns(draws).drop(*[f"_h{i}" for i in range((count + 3) // 4)])
 
 
 def u(i: int) -> Column:
@@ -65,8 +88,11 @@ def amount(draw: Column, low: int, span: int, digits: int, kind: str) -> Column:
 
 
 def position(high: Column, low: Column, n: Column) -> Column:
-    """0 … n-1 from 52 bits of two draws, for lists of any length."""
-    return F.pmod(F.shiftleft(high, 20) + F.shiftright(low, 12), n)
+    """0 … n-1 from 52 bits of two draws, for lists of any length.
+
+    Never NULL, which saves the planner from filtering join keys for it.
+    """
+    return F.coalesce(F.pmod(F.shiftleft(high, 20) + F.shiftright(low, 12), n), F.lit(0))
 
 
 def padded(value: Column, width: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tablero import schemas
+from tablero.functions.draws import draw_sql, words_sql
 from tablero.operators import generation as g
 from tablero.oracle.kit import AS_OF, tables
 
@@ -11,8 +12,7 @@ _SPAN = 4294967296
 
 
 def _u(purpose: str, i: int, key: str = "id") -> str:
-    return (f"CAST('0x' || substr(md5('0|{purpose}|{i // 4}|' || {key}), {1 + 8 * (i % 4)}, 8)"
-            " AS BIGINT)")
+    return f"({draw_sql(purpose, 0, i, words_sql(purpose, 0, key))})"
 
 
 def _scaled(draw: str, top: int | str) -> str:
