@@ -15,7 +15,7 @@ from tablero.operators import (
 )
 from tablero.plans.load import generate_all
 from tablero.plans.refresh import refresh_materialized
-from tablero.session import scratch_path
+from tablero.session import pinned, scratch_path
 from tablero.sources.calendar import calendar
 from tablero.sources.retail import AS_OF, EXPRESSIONS, RetailModel
 from tablero.sources.sinks import write_fact_export
@@ -298,7 +298,9 @@ def _made_payments(spark: SparkSession, path: str) -> DataFrame:
     base = _order_base(spark, path)
     lines = generation.generate_items(base, t["productos"])
     totals = integrity.order_totals(base, lines, now=NOW)
-    return _generated_columns(generation.generate_payments(totals, AS_OF))
+    # Payments follow written orders, as in the load.
+    written = pinned(totals.select("id", "estado_pago", "monto_total"), "orders")
+    return _generated_columns(generation.generate_payments(written, AS_OF))
 
 
 def _generate_all(spark: SparkSession, path: str) -> DataFrame:

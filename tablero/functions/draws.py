@@ -66,8 +66,7 @@ def scaled(draw: Column, top: int | Column) -> Column:
 
 def pick(values: list[str], place: Column) -> Column:
     """The value at a place counted from 0; the list becomes one constant array."""
-    words = F.split(F.lit(",".join(values)), ",")
-    return F.element_at(words, (place + F.lit(1)).cast("int"))
+    return F.get(F.split(F.lit(",".join(values)), ","), place.cast("int"))
 
 
 def choice(draw: Column, values: list[str]) -> Column:
@@ -102,7 +101,5 @@ def padded(value: Column, width: int) -> Column:
 
 
 def row_uuid(purpose: str, seed: int, key: str) -> Column:
-    """A stable identifier in the usual 8-4-4-4-12 form."""
-    h = F.md5(F.concat_ws("|", F.lit(f"{seed}|{purpose}|uuid"), F.col(key)))
-    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
-    return F.concat_ws("-", *[F.substr(h, F.lit(a), F.lit(n)) for a, n in cuts])
+    """A stable identifier of 32 hexadecimal digits."""
+    return F.md5(F.concat_ws("|", F.lit(f"{seed}|{purpose}|uuid"), F.col(key)))

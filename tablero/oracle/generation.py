@@ -42,10 +42,7 @@ def _place(high: str, low: str, n: str) -> str:
 
 
 def _uuid(purpose: str) -> str:
-    h = f"md5('0|{purpose}|uuid|' || id)"
-    return " || '-' || ".join(
-        f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
-    )
+    return f"md5('0|{purpose}|uuid|' || id)"
 
 
 def _pad(value: str, width: int) -> str:
