@@ -30,11 +30,15 @@ def row_number(df: DataFrame, group: list[str], order: list[Column], name: str)
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    pieces = pieces.select(
-        *[F.col(c).alias(f"_g_{c}") for c in group],
-        F.col("_part").alias("_p"),
-        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + F.lit(1))
-        .alias("_shift"),
+    # Written out, their true size is known, and the planner need not shuffle the rows again.
+    pieces = pinned(
+        pieces.select(
+            *[F.col(c).alias(f"_g_{c}") for c in group],
+            F.col("_part").alias("_p"),
+            (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + F.lit(1))
+            .alias("_shift"),
+        ),
+        "ranking",
     )
     match = F.col("_part") == F.col("_p")
     for c in group:

@@ -405,7 +405,9 @@ def generate_payments(
     part = (total * share).cast("decimal(15,2)")
     day = _days_before(as_of, scaled(u(3), 365))
     charged = orders.filter(due).select(
-        (F.col("id") + F.lit(first_id - 1)).alias("id"), F.col("id").alias("orden_id"), "monto_total"
+        (F.col("id") + F.lit(first_id - 1)).alias("id"),
+        F.col("id").alias("orden_id"),
+        "monto_total",
     )
     rows = draws.with_draws(charged, "pagos", seed, 5, "id").select(
         "id",

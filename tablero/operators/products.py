@@ -112,19 +112,23 @@ def _category_sales(t: Tables) -> DataFrame:
     )
 
 
-def ranking_by_category(t: Tables, as_of: dt.date) -> DataFrame:
-    """Every active product ranked by revenue within its category.
+def category_ranks(t: Tables, as_of: dt.date) -> DataFrame:
+    """Every active product with its place by revenue in its category, in no order.
 
     A category may hold a large part of all products, so the places are numbered over range
     partitions instead of sorting one category in one task.
     """
-    ranked = row_number(
+    return row_number(
         _category_sales(t),
         ["categoria"],
         [highest("ingresos_totales"), F.col("id").asc()],
         "ranking_categoria",
     )
-    return ranked.orderBy("categoria", "ranking_categoria")
+
+
+def ranking_by_category(t: Tables, as_of: dt.date) -> DataFrame:
+    """The ranked products, best first within each category."""
+    return category_ranks(t, as_of).orderBy("categoria", "ranking_categoria")
 
 
 def top10_by_category(t: Tables, as_of: dt.date) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablero.oracle.kit import AS_OF, LIVE, cents, fraction, money, month, pct, since, tables
+from tablero.oracle.kit import LIVE, cents, fraction, money, month, pct, since, tables
 
 SQL: dict[str, str] = {}
 

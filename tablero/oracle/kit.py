@@ -81,10 +81,8 @@ def n_if(condition: str) -> str:
 
 def sum_if(amount: str, condition: str) -> str:
     """Sum over the rows of the group that meet the condition: 0 if none, NULL if no row."""
-    return (
-        f"CASE WHEN count(*) > 0 THEN {money(f'coalesce(sum({amount}) FILTER (WHERE {condition}), 0)')}"
-        " END"
-    )
+    chosen = money(f"coalesce(sum({amount}) FILTER (WHERE {condition}), 0)")
+    return f"CASE WHEN count(*) > 0 THEN {chosen} END"
 
 
 def month(value: str) -> str:

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tablero.operators import products, trends
 from tablero.sources.sinks import materialize
 
+# Stored rows need no order, so the ranking is stored as it comes.
 MATERIALIZED = {
     "mv_tendencia_ventas_mensual": trends.monthly_trend,
-    "mv_top_productos_por_categoria": products.ranking_by_category,
+    "mv_top_productos_por_categoria": products.category_ranks,
 }
 
 
