@@ -143,40 +143,50 @@ def disclosing(docs: DataFrame, spotted: DataFrame, scratch: Scratch, text: str
     entities = scratch.write(
         contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
         .where(F.col("n_e") >= support), "entities")
-    pairs = contexts.join(
-        entities.select(F.col("entity").alias("_e"), "n_e"), F.col("entity") == F.col("_e")
-    ).select("entity", "n_e", F.explode(F.array_distinct(F.transform(
-        F.split("context", blank_run), _term))).alias("term"))
-    pairs = scratch.write(
-        pairs.where("term <> ''").groupBy("entity", "n_e", "term")
-        .agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support), "pairs")
-    wanted = pairs.select(F.col("term").alias("_t")).distinct()
-    # Distinct lines: copies of whole texts go first, while they are one row each.
     lines = docs.select(F.explode(F.split(F.col(text), "\n", -1)).alias("_line"))
     digest = F.unhex(F.md5("_line"))
     total = lines.select(digest.alias("d")).distinct().agg(F.count(F.lit(1)).alias("n"))
-    n_lines = total.first()["n"]
+    n = F.lit(float(max(total.first()["n"], 1)))
+
+    def revealed(n_t: str) -> Column:
+        return F.log(n * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / F.log(
+            n / F.col("n_e"))
+
+    by_line = contexts.select("entity", "line", F.explode(F.array_distinct(F.transform(
+        F.split("context", blank_run), _term))).alias("term")).where("term <> ''")
+    # The entities' own lines already bound how rare a term can be: most words end here, and
+    # the corpus is counted for the others only.
+    least = by_line.select("term", "line").distinct().groupBy(F.col("term").alias("_t")).agg(
+        F.count(F.lit(1)).alias("least"))
+    pairs = by_line.join(
+        entities.select(F.col("entity").alias("_e"), "n_e"), F.col("entity") == F.col("_e")
+    ).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).where(
+        (F.col("n_et") >= support) & (F.col("n_e") < n))
+    pairs = scratch.write(
+        pairs.join(least, F.col("term") == F.col("_t")).where(revealed("least") >= disclosure)
+        .drop("_t", "least"), "pairs")
+    wanted = pairs.select(F.col("term").alias("_t")).distinct()
     terms = lines.select(digest.alias("d"), F.explode(F.transform(
         F.split("_line", blank_run), _term)).alias("term"))
     counts = terms.join(wanted, F.col("term") == F.col("_t"), "left_semi").distinct().groupBy(
         F.col("term").alias("_t")).agg(F.count(F.lit(1)).alias("n_t"))
-    n = F.lit(float(max(n_lines, 1)))
-    revealed = F.log(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(
-        n / F.col("n_e"))
     found = pairs.join(counts, F.col("term") == F.col("_t")).where(
-        (F.col("n_e") < n) & (revealed >= disclosure))
-    return scratch.write(found.select("entity", "term", revealed.alias("disclosure")), "found")
+        revealed("n_t") >= disclosure)
+    return scratch.write(
+        found.select("entity", "term", revealed("n_t").alias("disclosure")), "found")
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text",
-             support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """Adds ``spans``: the base ones, then those of disclosing terms, kind ``len(KINDS)``."""
+def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT,
+             disclosure: float = DISCLOSURE) -> DataFrame:
+    """Adds ``spans``: the base ones, then those of disclosing terms, kind ``len(KINDS)``.
+
+    A text's spans depend on the text alone, so added ones are found once per distinct text.
+    """
     scratch = Scratch(docs.sparkSession, "private-data")
-    base = with_spans(docs, text)
-    base = scratch.write(
-        base.withColumn("_id", F.monotonically_increasing_id())
-        .select("_id", *docs.columns, "spans"), "base")
-    spotted = base.where(F.size("spans") > 0)
+    digest = F.unhex(F.md5(F.col(text)))
+    spotted = scratch.write(
+        with_spans(docs.select(text), text).where(F.size("spans") > 0)
+        .select(digest.alias("_id"), text, "spans").dropDuplicates(["_id"]), "spotted")
     found = disclosing(docs, spotted, scratch, text, support, disclosure)
 
     entities = spotted.select("_id", F.explode("spans").alias("s")).select(
@@ -192,18 +202,19 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text",
     before = Window.partitionBy("_id").orderBy("_k").rowsBetween(
         Window.unboundedPreceding, -1)
     size = F.length("_w.word") + F.coalesce(F.length("_w.gap"), F.lit(0))
-    term = _term(F.col("_w.word"))
     lead = F.instr(_lowered(F.col("_w.word")), F.col("_term")) - 1
     words = words.withColumn("_from", F.coalesce(F.sum(size).over(before), F.lit(0))).withColumn(
-        "_term", term).where("_term <> ''").where(F.array_contains("_terms", F.col("_term")))
+        "_term", _term(F.col("_w.word"))).where("_term <> ''").where(
+        F.array_contains("_terms", F.col("_term")))
     spans = words.select("_id", "spans", F.struct(
         F.lit(len(KINDS)).alias("kind"), (F.col("_from") + lead).cast("int").alias("start"),
         (F.col("_from") + lead + F.length("_term")).cast("int").alias("end"),
         F.substring(F.col("_w.word"), lead + 1, F.length("_term")).alias("value")).alias("s"))
     clear = ~F.exists("spans", lambda b: (b["start"] < F.col("s.end"))
                       & (b["end"] > F.col("s.start")))
-    added = spans.where(clear).groupBy(F.col("_id").alias("_i")).agg(
-        F.sort_array(F.collect_list("s")).alias("_added"))
+    added = scratch.write(spans.where(clear).groupBy(F.col("_id").alias("_i")).agg(
+        F.sort_array(F.collect_list("s")).alias("_added")), "added")
+    base = with_spans(docs, text).withColumn("_id", digest)
     return base.join(added, F.col("_id") == F.col("_i"), "left").select(
         *docs.columns, F.concat("spans", F.coalesce(
             "_added", F.array().cast(base.schema["spans"].dataType))).alias("spans"))
