@@ -81,16 +81,20 @@ def paths(nodes: DataFrame, scratch: Scratch, branches: int = 1) -> DataFrame:
     )
     best = Window.partitionBy("tree", "root").orderBy(
         F.col("score").desc(), F.col("depth").desc(), F.col("node"))
-    found = ends.withColumn("_rank", F.row_number().over(best)).where(
+    chosen = ends.withColumn("_rank", F.row_number().over(best)).where(
         F.col("_rank") <= branches
-    ).select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("pos"))
+    )
+    # Place p of a path is p replies above its leaf: one jump for each binary digit of p.
+    found = chosen.select(
+        "tree", F.col("node").alias("leaf"), "node",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("depth") - 1)).alias("pos"))
     for k, jump in enumerate(jumps):
-        more = found.join(
-            jump.where("up is not null").select(
-                F.col("tree").alias("_t"), F.col("node").alias("_n"), "up"),
-            (F.col("tree") == F.col("_t")) & (F.col("node") == F.col("_n")),
-        ).select("tree", "leaf", F.col("up").alias("node"), (F.col("pos") + 2**k).alias("pos"))
-        found = found.unionByName(more)
+        above = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
+        digit = F.shiftright("pos", k) % 2 == 1
+        found = found.join(
+            above, (F.col("tree") == F.col("_t")) & (F.col("node") == F.col("_n"))
+        ).select("tree", "leaf", F.when(digit, F.col("up")).otherwise(F.col("node"))
+                 .alias("node"), "pos")
     return found
 
 
