@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablero.llm import (
-    line_dedup, private_data, quality_rules, reply_trees,
+    language_id, line_dedup, private_data, quality_net, quality_rules, reply_trees, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op2_language_id": language_id.query,
+    "op3_quality_net": quality_net.query,
+    "op4_toxicity": toxicity.query,
     "op6_line_dedup": line_dedup.query,
     "op7_private_data": private_data.query,
     "op9_quality_rules": quality_rules.query,
