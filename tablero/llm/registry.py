@@ -6,20 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tablero.llm import (
-    language_id, line_dedup, private_data, quality_net, quality_rules, reply_trees, toxicity,
+    decontamination, language_id, line_dedup, near_dedup, packing, private_data, quality_net,
+    quality_rules, reply_trees, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_near_dedup": near_dedup.query,
     "op2_language_id": language_id.query,
     "op3_quality_net": quality_net.query,
     "op4_toxicity": toxicity.query,
+    "op5_packing": packing.query,
     "op6_line_dedup": line_dedup.query,
     "op7_private_data": private_data.query,
+    "op8_decontamination": decontamination.query,
     "op9_quality_rules": quality_rules.query,
     "op10_reply_trees": reply_trees.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
