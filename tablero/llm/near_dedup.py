@@ -11,7 +11,8 @@ three. Unlike sets part at once.
 Level by level, each tree node first compares its members with its smallest one; confirmed
 links merge classes. A tree node of one class has nothing more to find. One whose members all
 but ``SMALL`` are of one class is compared exhaustively across classes; a larger one branches
-on. So large groups of near copies cost a star of comparisons, never all pairs, and no link
+on. Pairs are only made where the sizes and the sketches' short sums allow the similarity
+(six standard errors). So large groups of near copies cost a star of comparisons, never all pairs, and no link
 between classes is skipped. Compared pairs pass a size bound and a loose sketch bound (six
 standard errors) and are then confirmed on their full sets. Classes are connected components
 of confirmed links, found by alternating large and small stars.
@@ -38,7 +39,10 @@ WORDS = 5
 PERCENT = 80
 COORDINATES = 64
 TREES = 16
-SMALL = 10
+SMALL = 256
+# Two numbers of sixteen four-bit digits sum a sketch up; unlike digits a pair at the wanted
+# similarity has but for six standard errors.
+MOST_UNLIKE = 20
 # Equal coordinates a pair at the wanted similarity has but for six standard errors.
 LEAST_EQUAL = int(COORDINATES * PERCENT / 100
                   - 6 * (COORDINATES * PERCENT * (100 - PERCENT)) ** 0.5 / 100)
@@ -130,6 +134,23 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text") -
     ).mapInPandas(run, "id long, items array<long>")
 
 
+def _digits(values: Column, first: int) -> Column:
+    """Sixteen coordinates' lowest four bits as one number."""
+    out = F.lit(0).cast("long")
+    for k in range(16):
+        digit = F.get(values, F.lit(first + k)).bitwiseAND(15).cast("long")
+        out = out.bitwiseOR(F.shiftleft(digit, 4 * k))
+    return out
+
+
+def _unlike(a: Column, b: Column) -> Column:
+    """How many of sixteen four-bit digits differ."""
+    x = a.bitwiseXOR(b)
+    for k in (1, 2):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def _branches(path: Column, values: Column) -> Column:
     """The children of a path: its coordinates follow from the path alone."""
     one = F.pmod(F.xxhash64(path, F.lit(1)), F.lit(COORDINATES)).cast("int")
@@ -170,10 +191,9 @@ class Components:
             least = edges.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
             small = edges.join(least, F.col("u") == F.col("_u")).select(
                 F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
-                F.col("m").alias("v")).distinct()
-            edges = self._keep(small)
+                F.col("m").alias("v"))
             # Large star: all larger neighbours to the smallest neighbour.
-            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            both = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy(F.col("u").alias("_u")).agg(F.least(
                 F.min("v"), F.col("_u")).alias("m"))
             large = both.where("v > u").join(least, F.col("u") == F.col("_u")).select(
@@ -202,21 +222,21 @@ class Confirm:
         self.rounds, self.tested = 0, None
 
     def links(self, pairs: DataFrame) -> DataFrame | None:
-        """The pairs (a, b) that are linked, None if there are none to compare."""
+        """The pairs (a, b) that are linked and not tried before, None if there are none."""
         self.rounds += 1
         new = pairs.distinct()
-        if self.tested is not None:
-            new = new.join(self.tested, ["a", "b"], "left_anti")
-        new = self.scratch.write(new, f"pairs{self.rounds}")
-        self.tested = new if self.tested is None else self.tested.unionByName(new)
         for side in ("a", "b"):
             new = new.join(self.nodes.select(
                 F.col("id").alias(side), F.col("n").alias(f"n_{side}"),
                 F.col("sketch").alias(f"s_{side}")), side)
         same = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
-        likely = self.scratch.write(new.where(
+        new = new.where(
             (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-            & (same >= LEAST_EQUAL)).select("a", "b"), f"likely{self.rounds}")
+            & (same >= LEAST_EQUAL)).select("a", "b")
+        if self.tested is not None:
+            new = new.join(self.tested, ["a", "b"], "left_anti")
+        likely = self.scratch.write(new, f"likely{self.rounds}")
+        self.tested = likely if self.tested is None else self.tested.unionByName(likely)
         ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
         ids = self.scratch.write(ids, f"ids{self.rounds}")
         if ids.isEmpty():
@@ -234,7 +254,7 @@ class Confirm:
             100 * both >= self.percent * (F.size("i_a") + F.size("i_b") - both)
         ).select("a", "b"), f"links{self.rounds}")
         self.scratch.drop(f"sets{self.rounds}")
-        return linked
+        return None if linked.isEmpty() else linked
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
@@ -250,11 +270,14 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     nodes = scratch.write(
         full.join(named.select(F.col("set_id").alias("_s"), "id"),
                   (F.col("doc_id") == F.col("id")) & (F.col("set_id") == F.col("_s")))
-        .select("id", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id"]), "nodes")
+        .select("id", F.col("n_shingles").alias("n"), "sketch",
+                _digits(F.col("sketch"), 0).alias("d0"),
+                _digits(F.col("sketch"), 16).alias("d1")).dropDuplicates(["id"]), "nodes")
     joined = Components(spark, scratch)
     confirm = Confirm(docs, nodes, scratch, words, percent, text)
 
-    frontier = nodes.select("id", F.explode(F.flatten(F.array(*[
+    short = ["n", "d0", "d1"]
+    frontier = nodes.select("id", *short, F.explode(F.flatten(F.array(*[
         _branches(F.xxhash64(F.lit(tree), F.lit("tree")), F.col("sketch"))
         for tree in range(TREES)]))).alias("path"))
     for level in range(DEEPEST + 1):
@@ -262,34 +285,37 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             F.count(F.lit(1)).alias("_n"), F.min("id").alias("pivot"))
         members = scratch.write(
             frontier.join(sizes.where("_n > 1"), F.col("path") == F.col("_path"))
-            .select("path", "id", "pivot"), f"members{level}")
+            .select("path", "id", "pivot", *short), f"members{level}")
         star = joined.of(joined.of(members.where("id <> pivot").select(
             F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "a", "_a"), "b", "_b")
         links = confirm.links(star.where("_a <> _b").select("a", "b"))
         if links is not None:
             joined.add(links)
 
-        grouped = joined.of(members.select("path", "id"), "id", "class")
-        parts = grouped.groupBy("path", "class").agg(F.count(F.lit(1)).alias("n"))
+        grouped = joined.of(members.drop("pivot"), "id", "class")
+        parts = grouped.groupBy("path", "class").agg(F.count(F.lit(1)).alias("part"))
         mixed = parts.groupBy(F.col("path").alias("_path")).agg(
-            F.sum("n").alias("n"), F.max("n").alias("most"),
-            F.max_by("class", F.struct("n", "class")).alias("main"),
+            F.sum("part").alias("all"), F.max("part").alias("most"),
+            F.max_by("class", F.struct("part", "class")).alias("main"),
             F.count(F.lit(1)).alias("classes")).where("classes > 1")
         mixed = scratch.write(
             grouped.join(mixed, F.col("path") == F.col("_path"))
-            .select("path", "id", "class", "main",
-                    (F.col("n") - F.col("most") <= SMALL).alias("small")), f"mixed{level}")
+            .select("path", "id", "class", "main", *short,
+                    (F.col("all") - F.col("most") <= SMALL).alias("small")), f"mixed{level}")
         scratch.drop(f"members{level}")
         if level == DEEPEST:
             mixed = mixed.withColumn("small", F.lit(True))
         small = mixed.where("small")
         other = small.where(F.col("class") != F.col("main")).select(
             F.col("path").alias("_path"), F.col("id").alias("_id"),
-            F.col("class").alias("_class"))
-        pairs = small.join(other, F.col("path") == F.col("_path")).where(
-            (F.col("class") != F.col("_class"))
+            F.col("class").alias("_class"), *[F.col(c).alias(f"_{c}") for c in short])
+        unlike = _unlike(F.col("d0"), F.col("_d0")) + _unlike(F.col("d1"), F.col("_d1"))
+        pairs = small.join(other, (
+            (F.col("path") == F.col("_path")) & (F.col("class") != F.col("_class"))
             # Two members outside the main class meet once.
-            & ((F.col("class") == F.col("main")) | (F.col("id") < F.col("_id"))))
+            & ((F.col("class") == F.col("main")) | (F.col("id") < F.col("_id")))
+            & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
+            & (unlike <= MOST_UNLIKE)))
         links = confirm.links(pairs.select(
             F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")))
         if links is not None:
@@ -297,9 +323,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         onward = mixed.where(~F.col("small"))
         if onward.isEmpty():
             break
-        frontier = onward.join(nodes.select(F.col("id").alias("_n"), "sketch"),
-                               F.col("id") == F.col("_n")).select(
-            "id", F.explode(_branches(F.col("path"), F.col("sketch"))).alias("path"))
+        frontier = onward.join(nodes.select(F.col("id").alias("_node"), "sketch"),
+                               F.col("id") == F.col("_node")).select(
+            "id", *short, F.explode(_branches(F.col("path"), F.col("sketch"))).alias("path"))
 
     known = joined.of(named, "id", "component")
     out = rows.select("doc_id", "n_shingles", "set_id").join(
