@@ -47,18 +47,25 @@ def boilerplate(docs: DataFrame, scratch: Scratch, host: str = "source",
 
 def clean(docs: DataFrame, host: str = "source", text: str = "text",
           ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines removed, and ``_dropped``, the number of them."""
+    """``docs`` with boilerplate lines removed, and ``_dropped``, the number of them.
+
+    A column of that name is replaced.
+    """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    found = boilerplate(docs, scratch, host, text, ratio, min_pages)
-    lines = F.split(F.col(text), "\n", -1)
+    # The row in one column: whatever its columns are called, they clash with nothing here.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(host).alias("_key"),
+                       F.col(text).alias("_text"))
+    found = boilerplate(rows, scratch, "_key", "_text", ratio, min_pages)
+    lines = F.split("_text", "\n", -1)
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_boiler"), F.unhex(F.md5(x))))
-    joined = docs.join(found, F.col(host).eqNullSafe(F.col("_host")), "left").withColumn(
+    joined = rows.join(found, F.col("_key").eqNullSafe(F.col("_host")), "left").withColumn(
         "_left", F.when(F.col("_boiler").isNotNull(), kept))
     dropped = F.coalesce(F.size(lines) - F.size("_left"), F.lit(0))
+    cleaned = F.when(F.col("_left").isNull(), F.col("_text")).otherwise(
+        F.array_join("_left", "\n"))
     return joined.select(
-        *[F.when(F.col("_left").isNull(), F.col(text))
-          .otherwise(F.array_join("_left", "\n")).alias(text) if c == text else F.col(c)
-          for c in docs.columns],
+        *[cleaned.alias(c) if c == text else F.col("_row").getField(c).alias(c)
+          for c in docs.columns if c != "_dropped"],
         F.when(F.col("_left").isNull(), 0).otherwise(dropped).cast("long").alias("_dropped"),
     )
 

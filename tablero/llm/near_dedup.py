@@ -338,9 +338,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 def keep(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` with one document of each class, all columns as they were."""
-    ids = classes(docs, words, percent).where("kept").select(F.col("doc_id").alias("_kept"))
-    some = docs.where("doc_id is not null").join(
-        ids, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    ids = classes(docs, words, percent).where("kept").select("doc_id").distinct()
+    some = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(
+        *docs.columns).dropDuplicates(["doc_id"])
     return some.unionByName(docs.where("doc_id is null"))
 
 

@@ -181,6 +181,7 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT,
     """Adds ``spans``: the base ones, then those of disclosing terms, kind ``len(KINDS)``.
 
     A text's spans depend on the text alone, so added ones are found once per distinct text.
+    A column ``spans`` is replaced.
     """
     scratch = Scratch(docs.sparkSession, "private-data")
     digest = F.unhex(F.md5(F.col(text)))
@@ -214,9 +215,12 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT,
                       & (b["end"] > F.col("s.start")))
     added = scratch.write(spans.where(clear).groupBy(F.col("_id").alias("_i")).agg(
         F.sort_array(F.collect_list("s")).alias("_added")), "added")
-    base = with_spans(docs, text).withColumn("_id", digest)
+    # The row in one column: whatever its columns are called, they clash with nothing here.
+    base = with_spans(docs.select(
+        F.struct(*[c for c in docs.columns if c != "spans"]).alias("_row"),
+        F.col(text).alias("_text"), digest.alias("_id")), "_text")
     return base.join(added, F.col("_id") == F.col("_i"), "left").select(
-        *docs.columns, F.concat("spans", F.coalesce(
+        "_row.*", F.concat("spans", F.coalesce(
             "_added", F.array().cast(base.schema["spans"].dataType))).alias("spans"))
 
 
