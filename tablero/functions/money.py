@@ -1,11 +1,13 @@
 """Exact decimal arithmetic: sums, averages, ratios and percentages.
 
-Sums are decimal(25,2). A quotient of a decimal(25,2) keeps at least nine decimals in Spark,
-so one final half-up ``round`` gives the same digits as exact rational arithmetic.
+Sums are decimal(25,2). Spark rounds a quotient to eleven decimals first, which can lift a value
+to the half from below; ``ratio`` compares such a value with the exact product.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 SUM = "decimal(25,2)"
@@ -34,8 +36,18 @@ def _nonzero(value: Column) -> Column:
 
 def ratio(num: Column, den: Column, scale: int = 2, kind: str = AVG2) -> Column:
     """``num / den`` rounded half-up to ``scale`` decimals; NULL when the divisor is 0."""
-    quotient = num.cast("decimal(27,2)") / _nonzero(den.cast(SUM))
-    return F.round(quotient, scale).cast(kind)
+    exact, divisor = num.cast("decimal(27,2)"), _nonzero(den.cast(SUM))
+    quotient = exact / divisor
+    up = F.round(quotient, scale)
+    unit = F.lit(Decimal(1).scaleb(-scale))
+    # A quotient that stands on the half may have been rounded there; at six decimals the
+    # divisor is a count, so either product fits 38 digits.
+    half = quotient.try_cast("decimal(27,3)" if scale == 2 else f"decimal(18,{scale + 1})")
+    count = divisor if scale == 2 else divisor.cast("decimal(19,0)")
+    lifted = ((quotient == half) & (F.abs(up - half) == F.lit(Decimal(5).scaleb(-scale - 1)))
+              & (F.abs(exact) < F.abs(half * count)))
+    down = up - F.when(quotient < 0, -unit).otherwise(unit)
+    return F.when(lifted, down).otherwise(up).cast(kind)
 
 
 def pct(num: Column, den: Column) -> Column:

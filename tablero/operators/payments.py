@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablero.functions import money, periods
 from tablero.operators.conditions import highest, status
-from tablero.sources.tables import order_lines, recent
+from tablero.sources.tables import recent
 
 Tables = Mapping[str, DataFrame]
 
@@ -99,7 +99,7 @@ def _returns(t: Tables, as_of: dt.date, fan_out: bool) -> DataFrame:
     )
     product = t["productos"].select(F.col("id").alias("producto_id"), "categoria", "subcategoria")
     lines = (
-        order_lines(t)
+        t["items_orden"]
         .select("orden_id", "producto_id")
         .join(reported.select("orden_id").distinct(), "orden_id", "left_semi")
         .join(product, "producto_id", "left")

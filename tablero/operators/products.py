@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tablero.functions import money, periods
 from tablero.functions.ranking import row_number
 from tablero.operators.conditions import highest, not_cancelled, zero
-from tablero.sources.tables import order_lines
 
 Tables = Mapping[str, DataFrame]
 
@@ -48,7 +47,7 @@ def by_category(t: Tables, as_of: dt.date) -> DataFrame:
     )
     quantity = F.col("cantidad")
     per_order = (
-        order_lines(t)
+        t["items_orden"]
         .join(product, "producto_id")
         .groupBy("orden_id", "categoria", "subcategoria")
         .agg(

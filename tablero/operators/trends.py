@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablero.functions import money, periods
 from tablero.operators.conditions import highest, not_cancelled, status
-from tablero.sources.tables import order_lines, recent
+from tablero.sources.tables import recent
 
 Tables = Mapping[str, DataFrame]
 
@@ -18,7 +18,7 @@ def _order_costs(t: Tables) -> DataFrame:
     """One row per order: number of lines and cost of what was sold (NULL if unknown)."""
     product = t["productos"].select(F.col("id").alias("producto_id"), "precio_costo")
     return (
-        order_lines(t)
+        t["items_orden"]
         .select("orden_id", "producto_id", "cantidad")
         .join(product, "producto_id", "left")
         .groupBy(F.col("orden_id").alias("id"))
@@ -163,7 +163,7 @@ def fact_export(t: Tables, as_of: dt.date) -> DataFrame:
             "equipo",
         )
     )
-    line = order_lines(t).select("orden_id", "producto_id", "cantidad", "total_linea")
+    line = t["items_orden"].select("orden_id", "producto_id", "cantidad", "total_linea")
     with_lines = orders.join(line, "orden_id")
     without = orders.join(line.select("orden_id").distinct(), "orden_id", "left_anti")
     return with_lines.unionByName(without, allowMissingColumns=True)

@@ -11,16 +11,15 @@ _FROM = {
     "JOIN region ON n_regionkey = r_regionkey",
     "productos": "part",
     "vendedores": "supplier",
-    "ordenes": f"orders WHERE {retail.ORDENES_FILTER}",
-    "items_orden": "lineitem WHERE l_orderkey IN (SELECT id FROM ordenes) "
-    f"AND {retail.ITEMS_FILTER}",
+    "ordenes": "orders",
+    "items_orden": "lineitem",
     "pagos": f"ordenes WHERE {retail.PAGOS_FILTER}",
-    "devoluciones": f"ordenes WHERE {retail.DEVOLUCIONES_FILTER}",
+    "devoluciones": "ordenes WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "interacciones_clientes": "events",
     "campanas": "nation",
     "campanas_clientes": "customer",
 }
-_NEEDS = {"items_orden": ("ordenes",), "pagos": ("ordenes",), "devoluciones": ("ordenes",)}
+_NEEDS = {"pagos": ("ordenes",), "devoluciones": ("ordenes",)}
 
 
 def tables(*names: str) -> str:

@@ -31,7 +31,9 @@ FROM ordenes WHERE {bound} GROUP BY 1"""
 
 
 SQL["v_resumen_ventas_diario"] = _daily(since("fecha_orden", "2 years"))
-SQL["d01_resumen_mes"] = _daily(IN_MONTH)
+# From the first of the month on; a later day counts too.
+FROM_MONTH = f"fecha_orden >= date_trunc('month', {AS_OF})"
+SQL["d01_resumen_mes"] = _daily(FROM_MONTH)
 
 _CATEGORY = f"""{tables("ordenes", "items_orden", "productos")},
 sold AS (
@@ -462,7 +464,7 @@ LEFT JOIN vendedores v ON v.id = o.vendedor_id LEFT JOIN items_orden i ON i.orde
 WHERE {since("fecha_orden", "12 months")}"""
 
 SQL["d04_ventas_mes"] = f"""{tables("ordenes")}
-SELECT {money("sum(monto_total)")} AS ingresos_mes FROM ordenes WHERE {IN_MONTH}"""
+SELECT {money("sum(monto_total)")} AS ingresos_mes FROM ordenes WHERE {FROM_MONTH}"""
 
 SQL["d08_kpis_30d"] = f"""{tables("ordenes")}
 SELECT count(*) AS ordenes_30d, {money("sum(monto_total)")} AS ingresos_30d,

@@ -115,7 +115,6 @@ _ORDER_PAYMENT = (
     + " ELSE 'pendiente' END"
 )
 
-ORDENES_FILTER = "o_orderdate < TIMESTAMP '2001-08-01 00:00:00'"
 ORDENES = {
     "id": "o_orderkey",
     "uuid": f"md5('ord-' || {_str('o_orderkey')})",
@@ -134,13 +133,13 @@ ORDENES = {
     "estado": _ORDER_STATE,
 }
 
-ITEMS_FILTER = "l_partkey % 97 <> 0"
 _PRICE = f"CAST({_fl('l_extendedprice * 100 / l_quantity')} * {_CENT} AS DECIMAL(10,2))"
 _DISCOUNT = "CAST(l_discount * 100 AS DECIMAL(5,2))"
 ITEMS = {
     "id": "{line_id}",
     "orden_id": "l_orderkey",
-    "producto_id": "l_partkey",
+    # Every 97th product is never sold: its lines belong to the next one.
+    "producto_id": "l_partkey + CASE WHEN l_partkey % 97 = 0 THEN 1 ELSE 0 END",
     "cantidad": "CAST(l_quantity AS INT)",
     "precio_unitario": _PRICE,
     "porcentaje_descuento": _DISCOUNT,
@@ -162,7 +161,7 @@ PAGOS = {
     "ELSE 'completado' END",
 }
 
-DEVOLUCIONES_FILTER = "id % 11 = 0"
+RETURNED = "l_returnflag = 'R'"
 DEVOLUCIONES = {
     "id": "id",
     "uuid": f"md5('dev-' || {_str('id')})",
@@ -257,17 +256,8 @@ class RetailModel(Mapping[str, DataFrame]):
         """
         return self._build(table, since, until)
 
-    def lines(self) -> DataFrame:
-        """Order lines for operators that join ``ordenes`` themselves.
-
-        ``items_orden`` keeps only lines of mapped orders; where the operator's own join does
-        that already, this saves shuffling the lines a second time.
-        """
-        return self._build_from(ITEMS, self.raw("lineitem").filter(ITEMS_FILTER), "items_orden")
-
     def _orders(self, since: dt.date | None, until: dt.date | None) -> DataFrame:
-        orders = self.raw("orders").filter(ORDENES_FILTER)
-        return orders.filter(periods.within(F.col("o_orderdate"), since, until))
+        return self.raw("orders").filter(periods.within(F.col("o_orderdate"), since, until))
 
     def _build(self, table: str, since: dt.date | None, until: dt.date | None) -> DataFrame:
         if since is not None:
@@ -282,12 +272,15 @@ class RetailModel(Mapping[str, DataFrame]):
         elif table == "ordenes":
             base = self._orders(since, until)
         elif table == "items_orden":
-            line = self.raw("lineitem").filter(ITEMS_FILTER)
-            placed = self.raw("orders").filter(ORDENES_FILTER)
-            base = line.join(placed, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-        elif table in ("pagos", "devoluciones"):
+            base = self.raw("lineitem")
+        elif table == "pagos":
+            base = self._build_from(ORDENES, self._orders(since, until), "ordenes").filter(
+                PAGOS_FILTER)
+        elif table == "devoluciones":
+            # One return for each order with a returned line.
+            returned = self.raw("lineitem").filter(RETURNED).select("l_orderkey")
             orders = self._build_from(ORDENES, self._orders(since, until), "ordenes")
-            base = orders.filter(PAGOS_FILTER if table == "pagos" else DEVOLUCIONES_FILTER)
+            base = orders.join(returned, F.col("id") == F.col("l_orderkey"), "left_semi")
         else:
             source = {
                 "productos": "part",

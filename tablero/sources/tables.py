@@ -29,11 +29,6 @@ def recent(
     return source.filter(periods.within(F.col(DATE_COLUMN[table]), since, until))
 
 
-def order_lines(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Order lines whose reader joins them to ``ordenes`` by itself."""
-    return t.lines() if hasattr(t, "lines") else t["items_orden"]
-
-
 class StoredTables(Mapping[str, DataFrame]):
     """Typed scans of the tables stored below ``path``, one folder per table.
 
