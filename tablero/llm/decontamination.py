@@ -23,11 +23,12 @@ Equal scores keep the earliest passage. Empty tables give empty results; extra c
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablero.llm.shared import table
 
@@ -209,16 +210,19 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataF
     return out
 
 
+def _clean(shared: Broadcast[Index]) -> Callable[[Column], Column]:
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not shared.value.matches(t) for t in texts], dtype="bool")
+
+    return clean
+
+
 def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no test item."""
     for index in _shards(items, "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not shared.value.matches(t) for t in texts], dtype="bool")
-
-        docs = docs.where(clean("text"))
+        clean = _clean(docs.sparkSession.sparkContext.broadcast(index))
+        docs = docs.where(clean(F.col("text")))
     return docs
 
 

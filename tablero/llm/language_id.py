@@ -71,9 +71,10 @@ def fold(key: Column, folds: int) -> Column:
 
 def learn(docs: DataFrame, lang: str = "lang") -> dict[str, list[int]]:
     """Ranked n-grams of each language; as many as there are languages, ``TOP`` each."""
-    known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
-    by_hash = Window.partitionBy(lang).orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.select(lang, "doc_id").withColumn("_n", F.row_number().over(by_hash)).where(
+    known = docs.select(F.col(lang).alias("lang"), "doc_id", "text").where(
+        "lang is not null and text is not null")
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = known.select("lang", "doc_id").withColumn("_n", F.row_number().over(by_hash)).where(
         F.col("_n") <= PER_LANGUAGE).select(F.col("doc_id").alias("_id"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +88,7 @@ def learn(docs: DataFrame, lang: str = "lang") -> dict[str, list[int]]:
                                     "n": counts.astype(np.int64)})
 
     counted = known.join(F.broadcast(sample.distinct()), F.col("doc_id") == F.col("_id"),
-                         "left_semi").select(F.col(lang).alias("lang"), "text").mapInPandas(
+                         "left_semi").select("lang", "text").mapInPandas(
         count, "lang string, gram long, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
     rank = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
