@@ -50,52 +50,58 @@ def paths(nodes: DataFrame, scratch: Scratch, branches: int = 1) -> DataFrame:
         F.coalesce("score", F.lit(0.0)).cast("double").alias("score"),
     ).join(known, (F.col("tree") == F.col("_t")) & (F.col("parent") == F.col("_n")), "left")
     # up: the row 2^k replies above, null past the root; score and depth cover those between.
+    # A row past its root is complete; only the others take part in the next round.
     step = scratch.write(step.select(
         "tree", "node", F.col("_n").alias("up"), "score", F.lit(1).cast("long").alias("depth"),
         F.col("node").alias("root"),
     ), "up0")
     jumps = [step]
     rows, open_rows = step.count(), step.where("up is not null").count()
+    complete = step.where("up is null")
     while open_rows and 2 ** (len(jumps) - 1) < rows:
-        above = step.select(
+        reach = step.where("up is not null")
+        above = reach.unionByName(complete).select(
             F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"),
             F.col("score").alias("_score"), F.col("depth").alias("_depth"),
             F.col("root").alias("_root"),
         )
-        step = step.join(
-            above, (F.col("tree") == F.col("_t")) & (F.col("up") == F.col("_n")), "left"
+        step = scratch.write(reach.join(
+            above, (F.col("tree") == F.col("_t")) & (F.col("up") == F.col("_n"))
         ).select(
-            "tree", "node", F.col("_up").alias("up"),
-            (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            F.coalesce("_root", "root").alias("root"),
-        )
-        step = scratch.write(step, f"up{len(jumps)}")
+            "tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score"))
+            .alias("score"), (F.col("depth") + F.col("_depth")).alias("depth"),
+            F.col("_root").alias("root"),
+        ), f"up{len(jumps)}")
         open_rows = step.where("up is not null").count()
         jumps.append(step)
+        complete = complete.unionByName(step.where("up is null"))
 
     parents = jumps[0].where("up is not null").select(
         F.col("tree").alias("_t"), F.col("up").alias("_n")).distinct()
-    ends = step.where("up is null").join(
+    ends = complete.join(
         parents, (F.col("tree") == F.col("_t")) & (F.col("node") == F.col("_n")), "left_anti"
     )
     best = Window.partitionBy("tree", "root").orderBy(
         F.col("score").desc(), F.col("depth").desc(), F.col("node"))
-    chosen = ends.withColumn("_rank", F.row_number().over(best)).where(
+    chosen = scratch.write(ends.withColumn("_rank", F.row_number().over(best)).where(
         F.col("_rank") <= branches
-    )
-    # Place p of a path is p replies above its leaf: one jump for each binary digit of p.
-    found = chosen.select(
-        "tree", F.col("node").alias("leaf"), "node",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("depth") - 1)).alias("pos"))
-    for k, jump in enumerate(jumps):
-        above = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
-        digit = F.shiftright("pos", k) % 2 == 1
-        found = found.join(
-            above, (F.col("tree") == F.col("_t")) & (F.col("node") == F.col("_n"))
-        ).select("tree", "leaf", F.when(digit, F.col("up")).otherwise(F.col("node"))
-                 .alias("node"), "pos")
-    return found
+    ).select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("pos"),
+             "depth"), "chosen")
+    # From the widest jump down, each row on a path adds the one that far above it; a path
+    # joins in at the widest jump that it is longer than.
+    found = chosen.where(F.col("depth") > 2 ** len(jumps))
+    for k in reversed(range(len(jumps))):
+        above = jumps[k].where("up is not null").select(
+            F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
+        entering = chosen.where((F.col("depth") > 2 ** k) & (F.col("depth") <= 2 ** (k + 1)))
+        here = F.struct("node", "pos")
+        there = F.struct(F.col("up").alias("node"), (F.col("pos") + 2 ** k).alias("pos"))
+        found = found.unionByName(entering).join(
+            above, (F.col("tree") == F.col("_t")) & (F.col("node") == F.col("_n")), "left"
+        ).select("tree", "leaf", "depth", F.explode(F.when(
+            F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("row")
+        ).select("tree", "leaf", "row.node", "row.pos", "depth")
+    return found.unionByName(chosen.where("depth = 1")).select("tree", "leaf", "pos", "node")
 
 
 def format_paths(turns: DataFrame) -> DataFrame:
