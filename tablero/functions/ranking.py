@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablero.session import pinned
 
-# Ids per block of the dense numbering; a block is one sort in one task.
-_BLOCK = 1 << 16
-
 
 def row_number(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """ROW_NUMBER per group for groups of any size.
@@ -16,7 +13,8 @@ def row_number(df: DataFrame, group: list[str], order: list[Column], name: str)
     The rows are range-partitioned by (group, order), so a large group spreads over many
     tasks; each row then adds its place within its partition to the number of earlier rows
     of its group in the partitions before. ``order`` must be a total order, or a run of
-    equal rows could not be split.
+    equal rows could not be split. Without ``group`` the running count sees one row per range
+    partition.
     """
     keys = [F.col(c) for c in group]
     ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
@@ -49,20 +47,5 @@ def row_number(df: DataFrame, group: list[str], order: list[Column], name: str)
 
 
 def dense_index(df: DataFrame, key: str, name: str = "indice") -> DataFrame:
-    """Number the rows 0 … n-1 in the order of a unique integer ``key``.
-
-    Rows are numbered within blocks of consecutive ids, and the block starts are running
-    counts over one row per block.
-    """
-    blocks = df.withColumn("_block", F.floor(F.col(key) / F.lit(_BLOCK)))
-    sizes = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
-    )
-    within = F.row_number().over(Window.partitionBy("_block").orderBy(key)) - F.lit(1)
-    return (
-        blocks.withColumn("_place", within)
-        .join(starts, "_block")
-        .select(*df.columns, (F.col("_start") + F.col("_place")).alias(name))
-    )
+    """Number the rows 0 … n-1 in the order of a unique ``key``, however sparse its values."""
+    return row_number(df, [], [F.col(key)], name).withColumn(name, F.col(name) - F.lit(1))

@@ -11,14 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablero import schemas
 from tablero.functions import money, periods
 from tablero.operators.conditions import not_cancelled
+from tablero.sources.tables import RestrictedDelete
 
 Tables = Mapping[str, DataFrame]
 
 
-class RestrictedDelete(ValueError):
-    """Rows that must not lose their parent still refer to a key to be deleted."""
-
-
 def with_line_total(items: DataFrame) -> DataFrame:
     """Computed column: quantity x price less the line discount, in exact decimals."""
     charged = (F.lit(100) - F.col("porcentaje_descuento")) * F.lit("0.01").cast("decimal(3,2)")

@@ -18,7 +18,8 @@ class Loader:
     """Fills the tables below ``path``; every row is a function of its id and ``seed``.
 
     Each job cleans its table first, or with ``limpiar=False`` adds rows with ids after the
-    highest one, and returns the number of rows it created.
+    highest one, and returns the number of rows it created. Cleaning follows the references'
+    delete rules: it raises while rows elsewhere need the table, before anything is written.
     """
 
     def __init__(
@@ -28,7 +29,7 @@ class Loader:
         self.path = path
         self.as_of = as_of or dt.date.today()
         self.seed = seed
-        self.t = tables.load(spark, path)
+        self.t = tables.StoredTables(spark, path, create=True)
 
     def clients(self, cantidad: int = 500, limpiar: bool = True) -> int:
         first = self._first_id("clientes", limpiar)
@@ -53,6 +54,8 @@ class Loader:
         Totals and lifetime values are computed once per load instead of once per row.
         """
         first = self._first_id("ordenes", limpiar)
+        if limpiar:
+            tables.clear(self.t, "ordenes")
         ids = generation.ids(self.spark, cantidad, first)
         rows = generation.order_rows(ids, self.as_of, dias_atras, self.seed)
         lines = generation.generate_items(rows, self.t["productos"], self.seed)
@@ -60,7 +63,7 @@ class Loader:
         line_count = self._store(lines, "items_orden", limpiar, first_line)
         placed = generation.assign_parties(rows, self.t)
         written = self.t["items_orden"].filter(F.col("id") >= first_line)
-        order_count = self._store(
+        order_count = self._write(
             order_totals(placed, written, now=self._now()), "ordenes", limpiar, first
         )
         valued = client_ltv(self.t["clientes"], self.t["ordenes"], now=self._now())
@@ -81,6 +84,11 @@ class Loader:
         return (self.t[table].agg(F.max("id")).first()[0] or 0) + 1
 
     def _store(self, rows: DataFrame, table: str, limpiar: bool, first: int) -> int:
+        if limpiar:
+            tables.clear(self.t, table)
+        return self._write(rows, table, limpiar, first)
+
+    def _write(self, rows: DataFrame, table: str, limpiar: bool, first: int) -> int:
         write = tables.overwrite if limpiar else tables.append
         write(rows, self.path, table)
         return self.t[table].filter(F.col("id") >= first).count()
@@ -97,7 +105,10 @@ def generate_all(
     as_of: dt.date | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """Clean and fill every generated table below ``path``: (paso, registros, segundos)."""
+    """Clean and fill every generated table below ``path``: (paso, registros, segundos).
+
+    Over stored orders it raises, as clients cannot be cleaned below them.
+    """
     load = Loader(spark, path, as_of, seed)
     steps = {
         "CLIENTES": lambda: load.clients(clientes),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Iterator, Mapping
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -13,6 +14,11 @@ from tablero import schemas
 from tablero.functions import periods
 from tablero.session import split_hot_keys
 
+
+class RestrictedDelete(ValueError):
+    """Rows elsewhere still refer to a key that is to be deleted."""
+
+
 # The moment column a date filter applies to.
 DATE_COLUMN = {
     "ordenes": "fecha_orden",
@@ -29,14 +35,25 @@ def recent(
     return source.filter(periods.within(F.col(DATE_COLUMN[table]), since, until))
 
 
+def _at(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The file system of a path, and the path in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 class StoredTables(Mapping[str, DataFrame]):
     """Typed scans of the tables stored below ``path``, one folder per table.
 
     ``ordenes`` is stored by month (column ``mes``), so date filters prune whole folders. A
-    table that was never written is empty.
+    table that was never written is empty; a folder that does not exist is an error, unless
+    ``create`` announces that a load will make it.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, create: bool = False) -> None:
+        if not create:
+            files, root = _at(spark, path)
+            if not files.exists(root):
+                raise FileNotFoundError(f"no folder of tables at {path}")
         split_hot_keys(spark)
         self.spark = spark
         self.path = path
@@ -115,8 +132,34 @@ def replace_from_itself(df: DataFrame, path: str, table: str) -> None:
     """Overwrite a table with rows computed from that same table.
 
     The rows are written beside it first: a table cannot be read while it is being replaced.
+    That copy goes once the table is replaced; after a failure it stays.
     """
     spark = df.sparkSession
     staging = f"{path}/_staging-{uuid.uuid4().hex[:12]}"
     overwrite(df, staging, table)
     overwrite(StoredTables(spark, staging)[table], path, table)
+    files, copy = _at(spark, staging)
+    files.delete(copy, True)
+
+
+def clear(t: StoredTables, table: str) -> None:
+    """Apply the references' delete rules as every row of ``table`` is about to go.
+
+    Raises before anything is written if rows elsewhere forbid it. Rows that must follow are
+    deleted and optional links to the table emptied; no table that is deleted along has
+    references of its own. Links within the table go with it.
+    """
+    links = [ref for ref in schemas.REFERENCES if ref.parent == table and ref.child != table]
+    held = {ref: not t[ref.child].filter(F.col(ref.column).isNotNull()).isEmpty()
+            for ref in links}
+    for ref in links:
+        if held[ref] and ref.on_delete == "restrict":
+            raise RestrictedDelete(f"{ref.child}.{ref.column} still refers to {table}")
+    for ref in links:
+        if held[ref]:
+            child = t[ref.child]
+            if ref.on_delete == "set null":
+                left = child.withColumn(ref.column, F.lit(None))
+            else:
+                left = child.filter(F.col(ref.column).isNull())
+            replace_from_itself(left, t.path, ref.child)
