@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tablero.llm.shared import table
+from tablero.llm.shared import first_by_hash, table
 
 TOP = 300
 PER_LANGUAGE = 2000
@@ -73,21 +73,8 @@ def learn(docs: DataFrame, lang: str = "lang") -> dict[str, list[int]]:
     """Ranked n-grams of each language; as many as there are languages, ``TOP`` each."""
     known = docs.select(F.col(lang).alias("lang"), "doc_id", "text").where(
         "lang is not null and text is not null")
-    hashed = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("_hash")).withColumn(
-        "_bin", F.shiftright("_hash", 48))
-    # Counts by the hash's upper bits tell where a language's sample ends, so only its last
-    # bin is ranked beside the sample itself; one row per language is joined.
-    upto = Window.partitionBy("lang").orderBy("_bin").rowsBetween(
-        Window.unboundedPreceding, -1)
-    ends = hashed.groupBy("lang", "_bin").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
-        "_before", F.coalesce(F.sum("_rows").over(upto), F.lit(0))).where(
-        F.col("_before") < PER_LANGUAGE).groupBy(F.col("lang").alias("_lang")).agg(
-        F.max("_bin").alias("_end"))
-    by_hash = Window.partitionBy("lang").orderBy("_hash", "doc_id")
-    sample = hashed.join(F.broadcast(ends), (
-        (F.col("lang") == F.col("_lang")) & (F.col("_bin") <= F.col("_end")))).withColumn(
-        "_n", F.row_number().over(by_hash)).where(
-        F.col("_n") <= PER_LANGUAGE).select(F.col("doc_id").alias("_id"))
+    sample = first_by_hash(known.select("lang", "doc_id"), "lang", PER_LANGUAGE).select(
+        F.col("doc_id").alias("_id"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

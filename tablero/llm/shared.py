@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablero.session import shared_folder
 
@@ -25,6 +25,26 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK_RUN), lambda w: w != "")
 
 
+def first_by_hash(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """The ``n`` rows of each group, of (group, doc_id), that come first by their ids' hash.
+
+    For a bounded number of groups. Counts by the hash's upper bits tell where a group's
+    sample ends, so only that last bin is ranked beside the sample itself.
+    """
+    hashed = rows.withColumn("_hash", F.xxhash64("doc_id")).withColumn(
+        "_bin", F.shiftright("_hash", 48))
+    before = Window.partitionBy(group).orderBy("_bin").rowsBetween(
+        Window.unboundedPreceding, -1)
+    ends = hashed.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
+        "_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).where(
+        F.col("_before") < n).groupBy(F.col(group).alias("_group")).agg(
+        F.max("_bin").alias("_end"))
+    by_hash = Window.partitionBy(group).orderBy("_hash", "doc_id")
+    return hashed.join(F.broadcast(ends), (
+        (F.col(group) == F.col("_group")) & (F.col("_bin") <= F.col("_end")))).withColumn(
+        "_n", F.row_number().over(by_hash)).where(F.col("_n") <= n).select(group, "doc_id")
+
+
 class Scratch:
     """Intermediate tables of one job, in the folder all executors share.
 

@@ -30,10 +30,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablero.llm.language_id import fold
-from tablero.llm.shared import Scratch, table
+from tablero.llm.shared import Scratch, first_by_hash, table
 
 PER_CLASS = 8000
 VOCABULARY = 20_000
@@ -129,11 +129,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> Da
     """(doc_id, text, label) of a bounded number of labelled texts of each class."""
     known = labels.where(f"{label} is not null and doc_id is not null").groupBy("doc_id").agg(
         F.max(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    by_hash = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     # Ids and labels only; at most 2 * per_class rows.
-    few = known.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT).withColumn(
-        "_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_class).select(
-        F.col("doc_id").alias("_id"), "label")
+    few = first_by_hash(known.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT).select(
+        "label", "doc_id"), "label", per_class).select(F.col("doc_id").alias("_id"), "label")
     return docs.select("doc_id", "text").where("text is not null").join(
         F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
 
