@@ -1,7 +1,7 @@
 """Benchmark decontamination by BM25 retrieval.
 
 Test items are indexed (inverted lists with BM25 impacts, items longer than ``SEGMENT`` words
-in segments). Every document is cut into passages of ``PASSAGE`` words, half overlapping, so
+in segments of nearly equal length). Every document is cut into passages of ``PASSAGE`` words, half overlapping, so
 that any segment stands whole in one of them, and every passage is a query. Impacts are
 divided by the segment's own score, so a score is the share of the segment's BM25 mass that
 the passage holds, and all segments at or above ``SCORE`` are retrieved.
@@ -11,9 +11,11 @@ terms' block maxima bound all scores in a block. A passage that reaches the thre
 of ``RANGES`` wide ranges is skipped at once; for the others, only blocks of ``BLOCK`` segments
 whose maxima reach it are scored, from their postings.
 
-A retrieved segment is verified: the shares of its question's and its answer's word trigrams
-that stand in the passage must reach ``QUESTION`` and ``ANSWER``. The answer is the last
-sentence, or the last third of a text of one sentence.
+A retrieved item is verified: the shares of its question's and its answer's word trigrams
+that stand in the passage must reach ``QUESTION`` and ``ANSWER``. Of an item in segments, the
+passages that hold any of them within the item's length count together, with what is between
+them; the score is that of the best segment. The answer is the last sentence, or the last
+third of a text of one sentence.
 
 The index is built in shards of at most ``SHARD_WORDS`` words, each broadcast on its own. Null
 and empty texts match nothing, nor do null ids of items; repeated rows are each searched.
@@ -77,17 +79,19 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids: list[int] = []
-        self.checks: list[tuple[set, set]] = []
+        self.checks: list[tuple[set, set]] = []  # of the segment's whole item
+        self.further: list[int] = []
         bags: list[list[str]] = []
         for item_id, text in items:
             question, answer = parts(text)
-            every = question + answer
-            for i in range(0, len(every), SEGMENT):
-                a, b = i, min(i + SEGMENT, len(every))
+            every, check = question + answer, (trigrams(question), trigrams(answer))
+            n = -(-len(every) // SEGMENT)
+            for i in range(n):
                 self.ids.append(item_id)
-                self.checks.append((trigrams(every[a:min(b, len(question))]),
-                                    trigrams(every[max(a, len(question)):b])))
-                bags.append(every[a:b])
+                self.checks.append(check)
+                # Passages after the first that the whole item can reach, wherever it begins.
+                self.further.append(-(-len(every) // (PASSAGE // 2)) if n > 1 else 0)
+                bags.append(every[len(every) * i // n:len(every) * (i + 1) // n])
         self.terms = {w: t for t, w in enumerate(sorted({w for bag in bags for w in bag}))}
         n = len(bags)
         counted = [np.unique([self.terms[w] for w in bag], return_counts=True) for bag in bags]
@@ -164,17 +168,28 @@ class Index:
         n = max(1, -(-len(ids) // step) - 1)
         known = np.nonzero(ids < none)[0]
         bounds = self.reach(ids[known], known // step, n)
-        best: dict[int, tuple[float, float, float, int]] = {}
+        # Passages that hold segments, by the items' checks: one item can have several texts.
+        hits: dict[int, tuple[int, dict[int, float]]] = {}
         for k in np.nonzero(bounds >= SCORE - 1e-9)[0]:
             a, b = int(k) * step, min(int(k) * step + PASSAGE, len(ids))
             terms = np.unique(ids[a:b])
             for s, score in self.search(terms[terms < none]):
-                passage = own[a:b]
-                question, answer = (held(part, passage) for part in self.checks[s])
-                item = self.ids[s]
-                if question >= QUESTION and answer >= ANSWER and (
-                        item not in best or score > best[item][0]):
-                    best[item] = (score, question, answer, a)
+                scores = hits.setdefault(id(self.checks[s]), (s, {}))[1]
+                scores[int(k)] = max(score, scores.get(int(k), 0.0))
+        best: dict[int, tuple[float, float, float, int]] = {}
+        for s, scores in hits.values():
+            item, ks = self.ids[s], list(scores)
+            end = 0
+            for i, k in enumerate(ks):
+                while end < len(ks) and ks[end] <= k + self.further[s]:
+                    end += 1
+                score = max(scores[x] for x in ks[i:end])
+                if item in best and (-score, k * step) >= (-best[item][0], best[item][3]):
+                    continue
+                stretch = own[k * step:ks[end - 1] * step + PASSAGE]
+                question, answer = (held(part, stretch) for part in self.checks[s])
+                if question >= QUESTION and answer >= ANSWER:
+                    best[item] = (score, question, answer, k * step)
         return [(item, *found) for item, found in sorted(best.items())]
 
 
