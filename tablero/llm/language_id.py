@@ -11,6 +11,12 @@ hash order. Prediction covers every whole text. A null text, or one without a le
 ``und`` with score 0, as is everything when nothing was learned. Ties go to the first language
 by name; among equal counts the smaller n-gram ranks first. Repeated rows are predicted each;
 empty tables give empty results; extra columns are ignored.
+
+``keep`` rejects texts that resemble no language. A language's cutoff follows from the scores
+of up to ``PER_LANGUAGE`` labelled documents that its profile was not learned from: it is
+``OF_LOW`` times their ``LOW`` quantile, so that the odd text among them stays as well. A
+language with fewer than ``ENOUGH`` such scores takes the cutoff of all, and without any it is
+``REJECT_BELOW``, which no cutoff falls short of.
 """
 
 from __future__ import annotations
@@ -29,8 +35,10 @@ PER_LANGUAGE = 2000
 UND = "und"
 # Share of the documents that profiles are never learned from.
 FOLDS, HELD_OUT = 4, 2
-# Below this score a text resembles no profile.
+# Below this score a text resembles no profile, whatever the documents' own scores.
 REJECT_BELOW = 0.05
+LOW, OF_LOW = 0.01, 0.6
+ENOUGH = 20
 
 
 @cache
@@ -138,15 +146,48 @@ def with_language(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
         predict, "doc_id long, lang_pred string, score double")
 
 
+def cutoffs(docs: DataFrame, model: Profiles, lang: str = "lang") -> dict[str, float]:
+    """The least score of each language, from labelled ``docs`` that were not learned from."""
+    known = docs.select(F.col(lang).alias("lang"), "doc_id", "text").where(
+        "lang is not null and text is not null")
+    sample = first_by_hash(known.select("lang", "doc_id"), "lang", PER_LANGUAGE).select(
+        F.col("doc_id").alias("_id"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(name, *model.predict(text))
+                     for name, text in zip(batch["lang"], batch["text"], strict=True)]
+            rows = [(name, score) for name, best, score in found if name == best]
+            yield pd.DataFrame(rows, columns=["lang", "score"])
+
+    # Copies score the same and count once; as many rows as the sample has.
+    rows = known.join(F.broadcast(sample.distinct()), F.col("doc_id") == F.col("_id"),
+                      "left_semi").select("lang", "text").mapInPandas(
+        score, "lang string, score double").distinct().collect()
+    own: dict[str, list[float]] = {name: [] for name in model.names}
+    for row in rows:
+        own[row["lang"]].append(row["score"])
+    every = [score for some in own.values() for score in some]
+    if not every:
+        return dict.fromkeys(own, REJECT_BELOW)
+
+    return {name: max(REJECT_BELOW, OF_LOW * float(np.quantile(
+        some if len(some) >= ENOUGH else every, LOW))) for name, some in own.items()}
+
+
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text resembles a learned language, all columns as they were."""
-    model = Profiles(learn(docs.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)))
+    held_out = fold(F.col("doc_id"), FOLDS) == HELD_OUT
+    model = Profiles(learn(docs.where(~held_out)))
+    least = cutoffs(docs.where(held_out), model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.predict(text)[1] for text in texts], dtype="float64")
+    @F.pandas_udf("boolean")
+    def resembles(texts: pd.Series) -> pd.Series:
+        found = [model.predict(text) for text in texts]
+        return pd.Series([score >= least.get(name, REJECT_BELOW) for name, score in found],
+                         dtype="bool")
 
-    return docs.where(score("text") >= REJECT_BELOW)
+    return docs.where(resembles("text"))
 
 
 def query(spark: SparkSession, path: str) -> DataFrame:
