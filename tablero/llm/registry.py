@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tablero.llm import (
-    decontamination, language_id, line_dedup, near_dedup, packing, private_data, quality_net,
-    quality_rules, reply_trees, toxicity,
+    decontamination, item_search, language_id, line_dedup, near_dedup, ngram_join, packing,
+    periodic_runs, private_data, quality_net, quality_rules, reply_trees, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,9 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": decontamination.query,
     "op9_quality_rules": quality_rules.query,
     "op10_reply_trees": reply_trees.query,
+    "op11_periodic_runs": periodic_runs.query,
+    "op12_item_search": item_search.query,
+    "op13_ngram_join": ngram_join.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -33,4 +36,5 @@ SQL: dict[str, str] = {
     "op7_private_data": private_data.sql(),
     "op9_quality_rules": quality_rules.sql(),
     "op10_reply_trees": reply_trees.sql(),
+    "op12_item_search": item_search.sql(),
 }
