@@ -8,6 +8,7 @@ from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablero import stored
 from tablero.functions import money, periods
 from tablero.operators import (
     campaigns, clients, forecasts, generation, integrity, payments, products, reports, reps,
@@ -79,8 +80,6 @@ DASHBOARD: dict[str, Operator] = {
     "q25_churn": forecasts.churn,
     "q26_cohortes": forecasts.cohorts,
     "d01_resumen_mes": reports.month_by_day,
-    "d02_tendencia_2_anios": trends.trend_two_years,
-    "d03_top10_por_categoria": products.top10_by_category,
     "d04_ventas_mes": reports.month_sales,
     "d05_top_vendedores": reports.best_reps,
     "d06_top_clientes": reports.best_clients,
@@ -346,10 +345,10 @@ JOBS: dict[str, Query] = {
 def queries() -> dict[str, Query]:
     plain = {key: _over_model(op) for key, op in {**VIEWS, **FUNCTIONS, **DASHBOARD}.items()}
     plain["q08_clientes_riesgo"] = _clients_at_risk
-    return {**plain, **JOBS}
+    return {**plain, **JOBS, **stored.JOBS}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tablero.oracle import functions, generation as made, integrity as kept, views
+    from tablero.oracle import functions, generation as made, integrity as kept, stored as again, views
 
-    return {**views.SQL, **functions.SQL, **made.SQL, **kept.SQL}
+    return {**views.SQL, **functions.SQL, **made.SQL, **kept.SQL, **again.SQL}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablero import schemas
 from tablero.functions import money, periods
 from tablero.operators.conditions import not_cancelled
+from tablero.sources.facts import FactStore
 from tablero.sources.tables import RestrictedDelete
 
 Tables = Mapping[str, DataFrame]
@@ -53,19 +54,52 @@ def order_totals(
         joined = orders.join(sums, "id", "left")
         due = F.col("_cambiada").isNotNull()
 
-    def part(column: str) -> Column:
-        return F.coalesce(F.col(column), F.lit(0).cast("decimal(15,2)"))
-
-    total = (
-        part("_lineas") + part("monto_impuesto") + part("costo_envio") - part("monto_descuento")
-    ).cast("decimal(15,2)")
     values = {
-        "monto_total": F.when(due, total).otherwise(F.col("monto_total")),
+        "monto_total": F.when(due, _due_total("_lineas")).otherwise(F.col("monto_total")),
         "actualizado_en": F.when(due, _touched(now)).otherwise(F.col("actualizado_en")),
     }
     return joined.withColumns(values).select(*orders.columns)
 
 
+def _due_total(lines: str) -> Column:
+    def part(column: str) -> Column:
+        return F.coalesce(F.col(column), F.lit(0).cast("decimal(15,2)"))
+
+    return (
+        part(lines) + part("monto_impuesto") + part("costo_envio") - part("monto_descuento")
+    ).cast("decimal(15,2)")
+
+
+def order_totals_in_place(
+    store: FactStore,
+    months: Sequence[dt.date] | None = None,
+    changed_ids: DataFrame | None = None,
+    now: dt.datetime | None = None,
+) -> DataFrame:
+    """``order_totals`` over stored facts, with the column ``mes``: neither side is exchanged.
+
+    Orders and lines are summed and joined in the buckets they are stored in; the few orders of
+    very many lines are a branch of their own. With ``months`` only those are read and returned,
+    with ``changed_ids`` only those orders change.
+    """
+    parts = []
+    for orders, lines in store.pairs(months):
+        sums = lines.groupBy(F.col("orden_id").alias("_orden")).agg(
+            money.total(F.col("total_linea")).alias("_lineas"))
+        joined = orders.join(sums, F.col("id") == F.col("_orden"), "left")
+        due = F.lit(True)
+        if changed_ids is not None:
+            changed = changed_ids.select(F.col("orden_id").alias("_cambiada")).distinct()
+            joined = joined.join(changed, F.col("id") == F.col("_cambiada"), "left")
+            due = F.col("_cambiada").isNotNull()
+        values = {
+            "monto_total": F.when(due, _due_total("_lineas")).otherwise(F.col("monto_total")),
+            "actualizado_en": F.when(due, _touched(now)).otherwise(F.col("actualizado_en")),
+        }
+        parts.append(joined.withColumns(values).select(*orders.columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def changed_orders(inserted: DataFrame, deleted: DataFrame) -> DataFrame:
     """Orders touched by a change of lines; a moved line names its old and its new order."""
     return inserted.select("orden_id").union(deleted.select("orden_id")).distinct()
@@ -90,13 +124,53 @@ def client_ltv(
             F.max("fecha_orden").alias("_ultima"),
         )
     )
+    joined = clients.join(bought, "id", "left")
+    return joined.withColumns(_valued(keep_old, now)).select(*clients.columns)
+
+
+def _valued(keep_old: bool, now: dt.datetime | None) -> dict[str, Column]:
     last = F.col("_ultima")
-    values = {
+    return {
         "valor_vida_total": F.coalesce(F.col("_valor"), F.lit(0).cast("decimal(15,2)")),
         "fecha_ultima_compra": F.coalesce(last, F.col("fecha_ultima_compra")) if keep_old else last,
         "actualizado_en": _touched(now),
     }
-    return clients.join(bought, "id", "left").withColumns(values).select(*clients.columns)
+
+
+def client_months(orders: DataFrame) -> DataFrame:
+    """Live value and last purchase per client and month: (cliente_id, mes, valor, ultima).
+
+    Sums and maxima of months make those of a client, and a month can be computed again when
+    one of its orders is cancelled, moved or lowered.
+    """
+    return orders.filter(not_cancelled()).groupBy(
+        "cliente_id", periods.month_of(F.col("fecha_orden")).alias("mes")).agg(
+        money.total(F.col("monto_total")).alias("valor"), F.max("fecha_orden").alias("ultima"))
+
+
+def client_ltv_of_months(
+    clients: DataFrame,
+    months: DataFrame,
+    touched: DataFrame | None = None,
+    keep_old: bool = False,
+    now: dt.datetime | None = None,
+) -> DataFrame:
+    """``client_ltv`` from ``client_months`` rows; with ``touched`` (column ``cliente_id``)
+    every other client keeps what is stored."""
+    due = F.lit(True)
+    if touched is not None:
+        keys = touched.select("cliente_id").distinct()
+        months = months.join(keys, "cliente_id", "left_semi")
+        clients_ = clients.join(keys.select(F.col("cliente_id").alias("_tocado")),
+                                F.col("id") == F.col("_tocado"), "left")
+        due = F.col("_tocado").isNotNull()
+    else:
+        clients_ = clients
+    bought = months.groupBy(F.col("cliente_id").alias("id")).agg(
+        F.sum("valor").cast("decimal(15,2)").alias("_valor"), F.max("ultima").alias("_ultima"))
+    values = {name: F.when(due, value).otherwise(F.col(name))
+              for name, value in _valued(keep_old, now).items()}
+    return clients_.join(bought, "id", "left").withColumns(values).select(*clients.columns)
 
 
 def soft_delete_clients(clients: DataFrame, as_of: dt.date, months: int = 6) -> DataFrame:

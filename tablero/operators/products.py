@@ -93,11 +93,12 @@ def by_category(t: Tables, as_of: dt.date) -> DataFrame:
     ).orderBy(highest("ingresos_totales"), "categoria", "subcategoria")
 
 
-def _category_sales(t: Tables) -> DataFrame:
+def _category_sales(t: Tables, sold: DataFrame | None = None) -> DataFrame:
+    sold = _per_product(t).drop("total_devuelto") if sold is None else sold
     return (
         _active_products(t)
         .select("categoria", "id", "uuid", "nombre", "sku")
-        .join(_per_product(t).drop("total_devuelto"), "id", "left")
+        .join(sold, "id", "left")
         .select(
             "categoria",
             "id",
@@ -111,14 +112,38 @@ def _category_sales(t: Tables) -> DataFrame:
     )
 
 
-def category_ranks(t: Tables, as_of: dt.date) -> DataFrame:
-    """Every active product with its place by revenue in its category, in no order.
+def product_months(lines: DataFrame) -> DataFrame:
+    """Lines with a month reduced to one row per month and product.
 
-    A category may hold a large part of all products, so the places are numbered over range
-    partitions instead of sorting one category in one task.
+    An order lies in one month, so its counts per month add up to those of all time.
     """
+    return lines.groupBy("mes", "producto_id").agg(
+        F.count_distinct("orden_id").alias("veces_pedido"),
+        F.sum("cantidad").alias("cantidad_total_vendida"),
+        money.total(F.col("total_linea")).alias("ingresos_totales"),
+    )
+
+
+def category_ranks_of_months(t: Tables, months: DataFrame) -> DataFrame:
+    """``category_ranks`` from ``product_months`` rows."""
+    sold = months.groupBy(F.col("producto_id").alias("id")).agg(
+        F.sum("veces_pedido").alias("veces_pedido"),
+        F.sum("cantidad_total_vendida").alias("cantidad_total_vendida"),
+        money.total(F.col("ingresos_totales")).alias("ingresos_totales"),
+    )
+    return _ranked(_category_sales(t, sold))
+
+
+def category_ranks(t: Tables, as_of: dt.date) -> DataFrame:
+    """Every active product with its place by revenue in its category, in no order."""
+    return _ranked(_category_sales(t))
+
+
+def _ranked(sales: DataFrame) -> DataFrame:
+    """A category may hold a large part of all products, so the places are numbered over range
+    partitions instead of sorting one category in one task."""
     return row_number(
-        _category_sales(t),
+        sales,
         ["categoria"],
         [highest("ingresos_totales"), F.col("id").asc()],
         "ranking_categoria",
@@ -143,6 +168,11 @@ def top10_by_category(t: Tables, as_of: dt.date) -> DataFrame:
     )
 
 
+def top10_of_ranks(ranks: DataFrame) -> DataFrame:
+    """The same from the stored ranks; the bound reaches their scan."""
+    return ranks.filter(F.col("ranking_categoria") <= 10).orderBy("categoria", "ranking_categoria")
+
+
 def top_products(t: Tables, as_of: dt.date) -> DataFrame:
     """The twenty active products with the highest revenue, with margin and profit."""
     price, cost = F.col("precio_lista"), F.col("precio_costo")

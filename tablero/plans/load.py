@@ -67,7 +67,7 @@ class Loader:
             order_totals(placed, written, now=self._now()), "ordenes", limpiar, first
         )
         valued = client_ltv(self.t["clientes"], self.t["ordenes"], now=self._now())
-        tables.replace_from_itself(valued, self.path, "clientes")
+        tables.overwrite(valued, self.path, "clientes")
         return order_count, line_count
 
     def payments(self, limpiar: bool = True) -> int:

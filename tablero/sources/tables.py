@@ -35,7 +35,7 @@ def recent(
     return source.filter(periods.within(F.col(DATE_COLUMN[table]), since, until))
 
 
-def _at(spark: SparkSession, path: str) -> tuple[Any, Any]:
+def at(spark: SparkSession, path: str) -> tuple[Any, Any]:
     """The file system of a path, and the path in it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
@@ -51,7 +51,7 @@ class StoredTables(Mapping[str, DataFrame]):
 
     def __init__(self, spark: SparkSession, path: str, create: bool = False) -> None:
         if not create:
-            files, root = _at(spark, path)
+            files, root = at(spark, path)
             if not files.exists(root):
                 raise FileNotFoundError(f"no folder of tables at {path}")
         split_hot_keys(spark)
@@ -73,6 +73,8 @@ class StoredTables(Mapping[str, DataFrame]):
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            if restore(self.spark, self.path, table):
+                return self.spark.read.schema(declared).parquet(f"{self.path}/{table}")
             return self.spark.createDataFrame([], declared)
 
     def __getitem__(self, table: str) -> DataFrame:
@@ -104,8 +106,19 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def overwrite(df: DataFrame, path: str, table: str) -> None:
-    """Clean-then-insert load of one table."""
-    _write(df, path, table, "overwrite")
+    """Clean-then-insert load of one table: the new rows are written beside it, then switched in.
+
+    ``df`` may be computed from the table itself. A write that fails leaves the old rows; so
+    does a driver lost between the two renames of the switch, as the next reader puts them back.
+    """
+    spark = df.sparkSession
+    staging = f"{path}/_cargando-{uuid.uuid4().hex[:12]}"
+    try:
+        _write(df, staging, table, "overwrite")
+        switch(spark, f"{staging}/{table}", path, table)
+    finally:
+        files, folder = at(spark, staging)
+        files.delete(folder, True)
 
 
 def append(df: DataFrame, path: str, table: str) -> None:
@@ -113,6 +126,36 @@ def append(df: DataFrame, path: str, table: str) -> None:
     _write(df, path, table, "append")
 
 
+def switch(spark: SparkSession, new: str, path: str, table: str) -> None:
+    """Rename the folder ``new`` to ``path/table``, whose old folder goes once it is replaced."""
+    files, target = at(spark, f"{path}/{table}")
+    _, old = at(spark, _replaced(path, table))
+    restore(spark, path, table)
+    if files.exists(target) and not files.rename(target, old):
+        raise OSError(f"cannot move {path}/{table} aside")
+    if not files.rename(at(spark, new)[1], target):
+        restore(spark, path, table)
+        raise OSError(f"cannot rename {new} to {path}/{table}")
+    files.delete(old, True)
+    # Files of the old folder that this session has listed are no longer there.
+    spark.catalog.refreshByPath(f"{path}/{table}")
+
+
+def restore(spark: SparkSession, path: str, table: str) -> bool:
+    """Put the old folder of an unfinished switch back; True if there was one."""
+    files, target = at(spark, f"{path}/{table}")
+    _, old = at(spark, _replaced(path, table))
+    if not files.exists(old):
+        return False
+    if files.exists(target):
+        return not files.delete(old, True)
+    return files.rename(old, target)
+
+
+def _replaced(path: str, table: str) -> str:
+    return f"{path}/_reemplazada-{table}"
+
+
 def _write(df: DataFrame, path: str, table: str, mode: str) -> None:
     """Write typed rows; ``ordenes`` goes out by month.
 
@@ -128,20 +171,6 @@ def _write(df: DataFrame, path: str, table: str, mode: str) -> None:
         out.write.mode(mode).parquet(target)
 
 
-def replace_from_itself(df: DataFrame, path: str, table: str) -> None:
-    """Overwrite a table with rows computed from that same table.
-
-    The rows are written beside it first: a table cannot be read while it is being replaced.
-    That copy goes once the table is replaced; after a failure it stays.
-    """
-    spark = df.sparkSession
-    staging = f"{path}/_staging-{uuid.uuid4().hex[:12]}"
-    overwrite(df, staging, table)
-    overwrite(StoredTables(spark, staging)[table], path, table)
-    files, copy = _at(spark, staging)
-    files.delete(copy, True)
-
-
 def clear(t: StoredTables, table: str) -> None:
     """Apply the references' delete rules as every row of ``table`` is about to go.
 
@@ -162,4 +191,4 @@ def clear(t: StoredTables, table: str) -> None:
                 left = child.withColumn(ref.column, F.lit(None))
             else:
                 left = child.filter(F.col(ref.column).isNull())
-            replace_from_itself(left, t.path, ref.child)
+            overwrite(left, t.path, ref.child)
