@@ -1,26 +1,33 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A document's set holds its distinct shingles (``words`` words each); equal sets are one node.
-Every node has a sketch of ``COORDINATES`` minimum hashes. ``TREES`` independent trees branch
-the nodes by chosen coordinates: a path picks one coordinate, or two with the odds that make
-1 / similarity branches on average, and sends each node to the child of its value there. Two
-sets of the wanted similarity stay together along some path of some tree almost surely:
-16 trees miss a link at exactly 0.8 with a probability of 2e-13 after one level, 1e-7 after
-three. Unlike sets part at once.
+Every node has a sketch of minimum hashes. ``TREES`` independent trees branch the nodes by
+chosen coordinates: a path picks one of ``COORDINATES`` coordinates, or two with the odds that
+make 1 / similarity branches on average, and sends each node to the child of its value there.
+Two sets of the wanted similarity stay together along some path of some tree almost surely;
+unlike sets part at once.
 
 Level by level, each tree node first compares its members with its smallest one; confirmed
-links merge classes. A tree node of one class has nothing more to find. One whose members all
-but ``SMALL`` are of one class is compared exhaustively across classes; a larger one branches
-on. Pairs are only made where the sizes and the sketches' short sums allow the similarity
-(six standard errors). So large groups of near copies cost a star of comparisons, never all pairs, and no link
-between classes is skipped. Compared pairs pass a size bound and a loose sketch bound (six
-standard errors) and are then confirmed on their full sets. Classes are connected components
-of confirmed links, found by alternating large and small stars.
+links merge classes. A tree node of one class has nothing more to find. In others the members
+outside the main class are compared with all members of other classes, if these are at most
+``WORK`` pairs; a node of more branches on. Members of the main class are never compared with
+each other, so large groups of near copies cost a star of comparisons. Pairs are only made
+where sizes and the sketches' short sums allow the similarity (four standard errors), and are
+confirmed on their full sets. Classes are connected components of confirmed links, found by
+alternating large and small stars.
+
+Recall. With the code's odds all trees lose a pair of exactly the wanted similarity, 0.8, with
+probability 2e-13 after one level, 7e-8 after three, 8e-4 after ten and 1.7 % after
+``DEEPEST``, and the short sums refuse one in ten thousand; more similar pairs are lost less.
+Only sets in a node that is still over ``WORK`` pairs meet a deeper level. After the deepest
+one, what is left is compared whatever it costs: such nodes agree in twenty coordinates, which
+sets that are not linked to the smallest member hardly do.
 
 Nulls: a null text, and one without words, has an empty set and is linked with nothing; rows
 without a document id are linked with nothing. A text of fewer words has its whole sequence as
-its one shingle. Rows that repeat a document id count as one document. Empty tables give empty
-results; extra columns are ignored.
+its one shingle. Rows that repeat a document id count as one document. Very long texts are taken
+whole; their sets are built one at a time. Ties: a class is named by its smallest id. Empty
+tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,19 +46,19 @@ WORDS = 5
 PERCENT = 80
 COORDINATES = 64
 TREES = 16
-SMALL = 256
-# Two numbers of sixteen four-bit digits sum a sketch up; unlike digits a pair at the wanted
-# similarity has but for six standard errors.
-MOST_UNLIKE = 20
-# Equal coordinates a pair at the wanted similarity has but for six standard errors.
-LEAST_EQUAL = int(COORDINATES * PERCENT / 100
-                  - 6 * (COORDINATES * PERCENT * (100 - PERCENT)) ** 0.5 / 100)
-# Beyond this depth, which only sets that sketches cannot part reach, nodes are compared whole.
-DEEPEST = 40
+WORK = 1 << 22
+DEEPEST = 20
+ROWS = 500  # documents handed on at a time
+# Eight numbers of sixteen four-bit digits sum a sketch of 128 minimum hashes up. Unlike digits
+# of a pair at the wanted similarity, and four standard errors.
+SUMS = 8
+_ODDS = (100 - PERCENT) / 100 * 15 / 16
+MOST_UNLIKE = int(16 * SUMS * _ODDS + 4 * (16 * SUMS * _ODDS * (1 - _ODDS)) ** 0.5)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_SKETCH = "doc_id long, n_shingles long, set_id binary, sketch array<int>"
+_SKETCH = ("doc_id long, n_shingles long, set_id binary, sketch array<int>, "
+           "sums array<long>")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,28 +103,38 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 @cache
 def _factors() -> np.ndarray:
     rng = np.random.default_rng(20)
-    return rng.integers(0, 1 << 63, (COORDINATES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    return rng.integers(0, 1 << 63, (16 * SUMS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch(items: np.ndarray) -> np.ndarray:
-    """Minimum hashes; items are not empty."""
-    low = np.full(COORDINATES, 0xFFFFFFFF, np.uint64)
-    for i in range(0, len(items), 4096):
-        part = (items[i:i + 4096] * _factors()) >> np.uint64(32)
+def sketch(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``COORDINATES`` minimum hashes, and the sums of all; items are not empty."""
+    low = np.full(16 * SUMS, 0xFFFFFFFF, np.uint64)
+    for i in range(0, len(items), 2048):
+        part = (items[i:i + 2048] * _factors()) >> np.uint64(32)
         low = np.minimum(low, part.min(axis=1))
-    return low.astype(np.uint32).view(np.int32)
+    digits = (low & np.uint64(15)).reshape(SUMS, 16) << (4 * np.arange(16, dtype=np.uint64))
+    return (low[:COORDINATES].astype(np.uint32).view(np.int32),
+            np.bitwise_or.reduce(digits, axis=1).view(np.int64))
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in pieces of ``ROWS``, so that what is made of them stays small."""
+    for batch in batches:
+        for first in range(0, len(batch), ROWS):
+            yield batch.iloc[first:first + ROWS]
 
 
 def sketches(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t, words) for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
-                "n_shingles": [len(s) for s in sets],
-                "set_id": [hashlib.md5(s.tobytes()).digest() if len(s) else None
-                           for s in sets],
-                "sketch": [sketch(s) if len(s) else None for s in sets]})
+        for part in _parts(batches):
+            rows = []
+            for value in part["text"]:
+                items = shingles(value, words)
+                rows.append((len(items), hashlib.md5(items.tobytes()).digest(), *sketch(items))
+                            if len(items) else (0, None, None, None))
+            made = pd.DataFrame(rows, columns=["n_shingles", "set_id", "sketch", "sums"])
+            made.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
+            yield made
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(run, _SKETCH)
 
@@ -125,30 +142,31 @@ def sketches(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
 def full_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text") -> DataFrame:
     """(id, items) of the documents in ``ids``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "items": [
-                shingles(t, words).view(np.int64) for t in batch["text"]]})
+        for part in _parts(batches):
+            yield pd.DataFrame({"id": part["doc_id"], "items": [
+                shingles(t, words).view(np.int64) for t in part["text"]]})
 
     return docs.select("doc_id", F.col(text).alias("text")).join(
         ids, F.col("doc_id") == F.col("id"), "left_semi"
     ).mapInPandas(run, "id long, items array<long>")
 
 
-def _digits(values: Column, first: int) -> Column:
-    """Sixteen coordinates' lowest four bits as one number."""
-    out = F.lit(0).cast("long")
-    for k in range(16):
-        digit = F.get(values, F.lit(first + k)).bitwiseAND(15).cast("long")
-        out = out.bitwiseOR(F.shiftleft(digit, 4 * k))
-    return out
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and sums, columns ``<a>n``, ``<a>0`` and so on, allow the similarity."""
+    unlike = F.lit(0)
+    for k in range(SUMS):
+        x = F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))
+        for shift in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        unlike = unlike + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    sizes = F.col(f"{a}n"), F.col(f"{b}n")
+    return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & (unlike <= MOST_UNLIKE)
 
 
-def _unlike(a: Column, b: Column) -> Column:
-    """How many of sixteen four-bit digits differ."""
-    x = a.bitwiseXOR(b)
-    for k in (1, 2):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+def _side(nodes: DataFrame, name: str, prefix: str) -> DataFrame:
+    """Sizes and sums of the nodes under the names that ``_near`` takes."""
+    return nodes.select(F.col("id").alias(name), F.col("n").alias(f"{prefix}n"), *[
+        F.get("sums", F.lit(k)).alias(f"{prefix}{k}") for k in range(SUMS)])
 
 
 def _branches(path: Column, values: Column) -> Column:
@@ -223,22 +241,23 @@ class Confirm:
 
     def links(self, pairs: DataFrame) -> DataFrame | None:
         """The pairs (a, b) that are linked and not tried before, None if there are none."""
-        self.rounds += 1
-        new = pairs.distinct()
+        near = pairs.distinct()
         for side in ("a", "b"):
-            new = new.join(self.nodes.select(
-                F.col("id").alias(side), F.col("n").alias(f"n_{side}"),
-                F.col("sketch").alias(f"s_{side}")), side)
-        same = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x == y), lambda x: x))
-        new = new.where(
-            (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-            & (same >= LEAST_EQUAL)).select("a", "b")
+            near = near.join(_side(self.nodes, side, f"_{side}"), side)
+        return self.exact(near.where(_near("_a", "_b", self.percent)).select("a", "b"))
+
+    def exact(self, near: DataFrame) -> DataFrame | None:
+        """The same for distinct pairs that sizes and sums allow."""
+        self.rounds += 1
         if self.tested is not None:
-            new = new.join(self.tested, ["a", "b"], "left_anti")
-        likely = self.scratch.write(new, f"likely{self.rounds}")
-        self.tested = likely if self.tested is None else self.tested.unionByName(likely)
+            near = near.join(self.tested, ["a", "b"], "left_anti")
+        likely = self.scratch.write(near, f"likely{self.rounds}")
+        before = self.tested
+        self.tested = likely if before is None else self.scratch.write(
+            before.unionByName(likely), f"tested{self.rounds}")
+        if before is not None:
+            self.scratch.drop(f"tested{self.rounds - 1}")
         ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-        ids = self.scratch.write(ids, f"ids{self.rounds}")
         if ids.isEmpty():
             return None
         sets = self.scratch.write(
@@ -270,22 +289,22 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     nodes = scratch.write(
         full.join(named.select(F.col("set_id").alias("_s"), "id"),
                   (F.col("doc_id") == F.col("id")) & (F.col("set_id") == F.col("_s")))
-        .select("id", F.col("n_shingles").alias("n"), "sketch",
-                _digits(F.col("sketch"), 0).alias("d0"),
-                _digits(F.col("sketch"), 16).alias("d1")).dropDuplicates(["id"]), "nodes")
+        .select("id", F.col("n_shingles").alias("n"), "sketch", "sums")
+        .dropDuplicates(["id"]), "nodes")
     joined = Components(spark, scratch)
     confirm = Confirm(docs, nodes, scratch, words, percent, text)
 
-    short = ["n", "d0", "d1"]
-    frontier = nodes.select("id", *short, F.explode(F.flatten(F.array(*[
+    frontier = nodes.select("id", F.explode(F.flatten(F.array(*[
         _branches(F.xxhash64(F.lit(tree), F.lit("tree")), F.col("sketch"))
         for tree in range(TREES)]))).alias("path"))
     for level in range(DEEPEST + 1):
+        frontier = scratch.write(frontier, f"frontier{level}")
         sizes = frontier.groupBy(F.col("path").alias("_path")).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("id").alias("pivot"))
+            F.count(F.lit(1)).alias("_n"), F.min("id").alias("pivot")).where("_n > 1")
         members = scratch.write(
-            frontier.join(sizes.where("_n > 1"), F.col("path") == F.col("_path"))
-            .select("path", "id", "pivot", *short), f"members{level}")
+            frontier.join(sizes, F.col("path") == F.col("_path")).select("path", "id", "pivot"),
+            f"members{level}")
+        scratch.drop(f"frontier{level}")
         star = joined.of(joined.of(members.where("id <> pivot").select(
             F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "a", "_a"), "b", "_b")
         links = confirm.links(star.where("_a <> _b").select("a", "b"))
@@ -294,38 +313,36 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
         grouped = joined.of(members.drop("pivot"), "id", "class")
         parts = grouped.groupBy("path", "class").agg(F.count(F.lit(1)).alias("part"))
-        mixed = parts.groupBy(F.col("path").alias("_path")).agg(
+        several = parts.groupBy(F.col("path").alias("_path")).agg(
             F.sum("part").alias("all"), F.max("part").alias("most"),
             F.max_by("class", F.struct("part", "class")).alias("main"),
             F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        cheap = (F.col("all") - F.col("most")) * F.col("all") <= (
+            WORK if level < DEEPEST else 1 << 62)
         mixed = scratch.write(
-            grouped.join(mixed, F.col("path") == F.col("_path"))
-            .select("path", "id", "class", "main", *short,
-                    (F.col("all") - F.col("most") <= SMALL).alias("small")), f"mixed{level}")
+            grouped.join(several, F.col("path") == F.col("_path"))
+            .select("path", "id", "class", "main", cheap.alias("cheap")), f"mixed{level}")
         scratch.drop(f"members{level}")
-        if level == DEEPEST:
-            mixed = mixed.withColumn("small", F.lit(True))
-        small = mixed.where("small")
-        other = small.where(F.col("class") != F.col("main")).select(
-            F.col("path").alias("_path"), F.col("id").alias("_id"),
-            F.col("class").alias("_class"), *[F.col(c).alias(f"_{c}") for c in short])
-        unlike = _unlike(F.col("d0"), F.col("_d0")) + _unlike(F.col("d1"), F.col("_d1"))
-        pairs = small.join(other, (
+        some = mixed.where("cheap").drop("cheap")
+        one = some.join(_side(nodes, "id", "_x"), "id")
+        two = some.where(F.col("class") != F.col("main")).select(
+            F.col("path").alias("_path"), F.col("id").alias("other"),
+            F.col("class").alias("_class")).join(_side(nodes, "other", "_y"), "other")
+        pairs = one.join(two, (
             (F.col("path") == F.col("_path")) & (F.col("class") != F.col("_class"))
             # Two members outside the main class meet once.
-            & ((F.col("class") == F.col("main")) | (F.col("id") < F.col("_id")))
-            & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
-            & (unlike <= MOST_UNLIKE)))
-        links = confirm.links(pairs.select(
-            F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")))
+            & ((F.col("class") == F.col("main")) | (F.col("id") < F.col("other")))
+            & _near("_x", "_y", percent)))
+        links = confirm.exact(pairs.select(
+            F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
         if links is not None:
             joined.add(links)
-        onward = mixed.where(~F.col("small"))
-        if onward.isEmpty():
+        onward = mixed.where(~F.col("cheap"))
+        if level == DEEPEST or onward.isEmpty():
             break
         frontier = onward.join(nodes.select(F.col("id").alias("_node"), "sketch"),
                                F.col("id") == F.col("_node")).select(
-            "id", *short, F.explode(_branches(F.col("path"), F.col("sketch"))).alias("path"))
+            "id", F.explode(_branches(F.col("path"), F.col("sketch"))).alias("path"))
 
     known = joined.of(named, "id", "component")
     out = rows.select("doc_id", "n_shingles", "set_id").join(
