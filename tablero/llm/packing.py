@@ -9,7 +9,8 @@
 3. Pieces are ranked within their length, and each rank is one slot of one use of a pattern.
 
 Tokens come from the vocabulary's rank file, which encodes several times faster than the
-vocabulary file and gives the same ids.
+vocabulary file and gives the same ids. A very long text is encoded whole; where the rank
+file's pattern matcher gives up (about a million blanks in a row), the vocabulary file takes it.
 
 Nulls: a null text is empty and is its end id alone. Repeated rows are packed each; pieces
 equal in everything take any of their places. Empty tables give empty results; extra columns
@@ -44,8 +45,8 @@ _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
 class Encoder:
     """Ids of texts as little-endian bytes, four per id.
 
-    The ranks encode ordinary text; a text with the vocabulary's marker is left to the
-    tokenizer file itself. Both give the same ids (tests).
+    The ranks encode ordinary text; a text with the vocabulary's marker, or one that the ranks'
+    pattern cannot take, is left to the tokenizer file itself. Both give the same ids (tests).
     """
 
     def __init__(self, path: str | None, ranks: str | None):
@@ -62,10 +63,14 @@ class Encoder:
         self.whole = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
 
     def __call__(self, text: str) -> bytes:
-        if MARKER in text:
+        ids = None
+        if MARKER not in text:
+            try:
+                ids = self.plain.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # a run of blanks too long for the pattern
+                pass
+        if ids is None:
             ids = self.whole.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.plain.encode_to_numpy(text, disallowed_special=())
         return np.asarray(ids, "<u4").tobytes()
 
 
