@@ -40,7 +40,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablero.llm.shared import Scratch, table
+from tablero.llm.shared import Scratch, classes_sql, table
 
 WORDS = 5
 PERCENT = 80
@@ -364,3 +364,9 @@ def keep(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 def query(spark: SparkSession, path: str) -> DataFrame:
     """``op1_near_dedup``: the class of every document, on shingles of four words."""
     return classes(table(spark, path, "documents"), words=4)
+
+
+def sql() -> str:
+    """The same rows in DuckDB."""
+    return classes_sql(4, PERCENT) + """
+SELECT *, doc_id = component_id AS kept FROM linked"""

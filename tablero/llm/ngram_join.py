@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablero.llm.near_dedup import Components, full_sets, shingles
-from tablero.llm.shared import Scratch, table
+from tablero.llm.shared import Scratch, classes_sql, table
 
 WORDS = 3
 PERCENT = 90
@@ -224,3 +224,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def query(spark: SparkSession, path: str) -> DataFrame:
     """``op13_ngram_join``: the class of every document, on shingles of three words."""
     return classes(table(spark, path, "documents"))
+
+
+def sql() -> str:
+    """The same rows in DuckDB."""
+    return classes_sql(WORDS, PERCENT) + "\nSELECT * FROM linked"

@@ -32,9 +32,11 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_near_dedup": near_dedup.sql(),
     "op6_line_dedup": line_dedup.sql(),
     "op7_private_data": private_data.sql(),
     "op9_quality_rules": quality_rules.sql(),
     "op10_reply_trees": reply_trees.sql(),
     "op12_item_search": item_search.sql(),
+    "op13_ngram_join": ngram_join.sql(),
 }

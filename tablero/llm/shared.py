@@ -45,6 +45,33 @@ def first_by_hash(rows: DataFrame, group: str, n: int) -> DataFrame:
         "_n", F.row_number().over(by_hash)).where(F.col("_n") <= n).select(group, "doc_id")
 
 
+def classes_sql(words: int, percent: int) -> str:
+    """DuckDB's ``linked``: (doc_id, n_shingles, component_id), by all pairs that share a shingle."""
+    return f"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+    '{BLANK_RUN}'), lambda w: w <> '') AS ws FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {words} THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - {words - 2}),
+      lambda i: array_to_string(ws[i:i + {words - 1}], ' ')))) END AS items FROM found),
+nodes AS (SELECT min(doc_id) AS id, items FROM sets WHERE len(items) > 0 GROUP BY items),
+spread AS (SELECT id, len(items) AS n, hash(unnest(items)) AS item FROM nodes),
+pairs AS (
+  SELECT a.id AS a, b.id AS b FROM spread a JOIN spread b ON a.item = b.item AND a.id < b.id
+    AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+twice AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (
+  SELECT id AS u, id AS v FROM nodes
+  UNION SELECT u, b FROM reach JOIN twice ON v = a),
+least AS (SELECT u, min(v) AS component FROM reach GROUP BY u),
+linked AS (
+  SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles,
+    coalesce(component, s.doc_id) AS component_id
+  FROM sets s LEFT JOIN nodes n ON s.items = n.items LEFT JOIN least ON u = n.id)"""
+
+
 class Scratch:
     """Intermediate tables of one job, in the folder all executors share.
 
