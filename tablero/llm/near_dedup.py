@@ -1,27 +1,27 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A document's set holds its distinct shingles (``words`` words each); equal sets are one node.
-Every node has a sketch of minimum hashes. ``TREES`` independent trees branch the nodes by
+Every node has a sketch of minimum hashes. The trees of ``ROOTS`` branch the nodes by
 chosen coordinates: a path picks one of ``COORDINATES`` coordinates, or two with the odds that
 make 1 / similarity branches on average, and sends each node to the child of its value there.
 Two sets of the wanted similarity stay together along some path of some tree almost surely;
 unlike sets part at once.
 
-Level by level, each tree node first compares its members with its smallest one; confirmed
-links merge classes. A tree node of one class has nothing more to find. In others the members
-outside the main class are compared with all members of other classes, if these are at most
-``WORK`` pairs; a node of more branches on. Members of the main class are never compared with
-each other, so large groups of near copies cost a star of comparisons. Pairs are only made
-where sizes and the sketches' short sums allow the similarity (four standard errors), and are
-confirmed on their full sets. Classes are connected components of confirmed links, found by
-alternating large and small stars.
+Level by level, each tree node first compares its members with one of them, chosen by hash, and
+twice again with one of its main class; confirmed links merge classes. A tree node of one class
+has nothing more to find. In others the members outside the main class are compared with all
+members of other classes, each pair once, if these are at most ``WORK`` pairs; a node of more
+branches on. Members of the main class are never compared with each other, so large groups of
+near copies cost a few stars of comparisons. Pairs are only made where sizes and the sketches'
+short sums allow the similarity (three standard errors), and are confirmed on their full sets.
+Classes are connected components of confirmed links, found by alternating large and small stars.
 
 Recall. With the code's odds all trees lose a pair of exactly the wanted similarity, 0.8, with
-probability 2e-13 after one level, 7e-8 after three, 8e-4 after ten and 1.7 % after
-``DEEPEST``, and the short sums refuse one in ten thousand; more similar pairs are lost less.
-Only sets in a node that is still over ``WORK`` pairs meet a deeper level. After the deepest
-one, what is left is compared whatever it costs: such nodes agree in twenty coordinates, which
-sets that are not linked to the smallest member hardly do.
+probability 4e-7 after one level, 3e-4 after three, 0.3 % after five and 1.4 % after
+``DEEPEST``, and the short sums refuse one in 700; more similar pairs are lost less. Only sets
+in a node that is still over ``WORK`` pairs meet a deeper level. After the deepest one, what is
+left is compared whatever it costs: such nodes agree in as many coordinates, which sets that
+are not linked to the chosen members hardly do.
 
 Nulls: a null text, and one without words, has an empty set and is linked with nothing; rows
 without a document id are linked with nothing. A text of fewer words has its whole sequence as
@@ -45,15 +45,17 @@ from tablero.llm.shared import Scratch, classes_sql, table
 WORDS = 5
 PERCENT = 80
 COORDINATES = 64
-TREES = 16
+# The root's coordinates: one each of six trees, two each of two.
+ROOTS = [[0], [1], [2], [3, 4], [5], [6], [7], [8, 9]]
+STARS = 2  # further stars of a level
 WORK = 1 << 22
-DEEPEST = 20
+DEEPEST = 8
 ROWS = 500  # documents handed on at a time
-# Eight numbers of sixteen four-bit digits sum a sketch of 128 minimum hashes up. Unlike digits
-# of a pair at the wanted similarity, and four standard errors.
-SUMS = 8
+# Numbers of sixteen four-bit digits sum a sketch of 256 minimum hashes up. Unlike digits of a
+# pair at the wanted similarity, and three standard errors.
+SUMS = 16
 _ODDS = (100 - PERCENT) / 100 * 15 / 16
-MOST_UNLIKE = int(16 * SUMS * _ODDS + 4 * (16 * SUMS * _ODDS * (1 - _ODDS)) ** 0.5)
+MOST_UNLIKE = int(16 * SUMS * _ODDS + 3 * (16 * SUMS * _ODDS * (1 - _ODDS)) ** 0.5)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -165,8 +167,16 @@ def _near(a: str, b: str, percent: int) -> Column:
 
 def _side(nodes: DataFrame, name: str, prefix: str) -> DataFrame:
     """Sizes and sums of the nodes under the names that ``_near`` takes."""
-    return nodes.select(F.col("id").alias(name), F.col("n").alias(f"{prefix}n"), *[
-        F.get("sums", F.lit(k)).alias(f"{prefix}{k}") for k in range(SUMS)])
+    return nodes.select(
+        F.col("id").alias(name), F.col("n").alias(f"{prefix}n"),
+        F.slice("sketch", 1, sum(map(len, ROOTS))).alias(f"{prefix}s"),
+        *[F.get("sums", F.lit(k)).alias(f"{prefix}{k}") for k in range(SUMS)])
+
+
+def _roots(values: Column) -> Column:
+    """The first children: one per coordinate of the roots, in their order."""
+    return F.array(*[F.xxhash64(F.lit(tree), F.lit(at), F.get(values, F.lit(at)))
+                     for tree, some in enumerate(ROOTS) for at in some])
 
 
 def _branches(path: Column, values: Column) -> Column:
@@ -294,45 +304,59 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     joined = Components(spark, scratch)
     confirm = Confirm(docs, nodes, scratch, words, percent, text)
 
-    frontier = nodes.select("id", F.explode(F.flatten(F.array(*[
-        _branches(F.xxhash64(F.lit(tree), F.lit("tree")), F.col("sketch"))
-        for tree in range(TREES)]))).alias("path"))
+    frontier = nodes.select("id", F.posexplode(_roots(F.col("sketch"))).alias("slot", "path"))
     for level in range(DEEPEST + 1):
         frontier = scratch.write(frontier, f"frontier{level}")
         sizes = frontier.groupBy(F.col("path").alias("_path")).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("id").alias("pivot")).where("_n > 1")
-        members = scratch.write(
-            frontier.join(sizes, F.col("path") == F.col("_path")).select("path", "id", "pivot"),
-            f"members{level}")
+            F.count(F.lit(1)).alias("_n"),
+            F.min_by("id", F.xxhash64("path", "id")).alias("pivot")).where("_n > 1")
+        members = scratch.write(frontier.join(sizes, F.col("path") == F.col("_path")).select(
+            "path", "slot", "id", "pivot"), f"members{level}")
         scratch.drop(f"frontier{level}")
-        star = joined.of(joined.of(members.where("id <> pivot").select(
-            F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "a", "_a"), "b", "_b")
-        links = confirm.links(star.where("_a <> _b").select("a", "b"))
-        if links is not None:
-            joined.add(links)
-
-        grouped = joined.of(members.drop("pivot"), "id", "class")
-        parts = grouped.groupBy("path", "class").agg(F.count(F.lit(1)).alias("part"))
-        several = parts.groupBy(F.col("path").alias("_path")).agg(
-            F.sum("part").alias("all"), F.max("part").alias("most"),
-            F.max_by("class", F.struct("part", "class")).alias("main"),
-            F.count(F.lit(1)).alias("classes")).where("classes > 1")
-        cheap = (F.col("all") - F.col("most")) * F.col("all") <= (
-            WORK if level < DEEPEST else 1 << 62)
-        mixed = scratch.write(
-            grouped.join(several, F.col("path") == F.col("_path"))
-            .select("path", "id", "class", "main", cheap.alias("cheap")), f"mixed{level}")
-        scratch.drop(f"members{level}")
-        some = mixed.where("cheap").drop("cheap")
+        for star in range(STARS + 1):
+            pairs = joined.of(joined.of(members.where("id <> pivot").select(
+                F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")
+            ).distinct(), "a", "_a"), "b", "_b").where("_a <> _b").select("a", "b")
+            links = confirm.links(pairs)
+            if links is not None:
+                joined.add(links)
+            grouped = joined.of(members.drop("pivot"), "id", "class")
+            parts = grouped.groupBy("path", "class").agg(
+                F.count(F.lit(1)).alias("part"),
+                F.min_by("id", F.xxhash64("path", "id", F.lit(star))).alias("one"))
+            several = parts.groupBy(F.col("path").alias("_path")).agg(
+                F.sum("part").alias("all"), F.max("part").alias("most"),
+                F.max_by("class", F.struct("part", "class")).alias("main"),
+                F.max_by("one", F.struct("part", "class")).alias("pivot"),
+                F.count(F.lit(1)).alias("classes")).where("classes > 1")
+            cheap = (F.col("all") - F.col("most")) * F.col("all") <= (
+                WORK if level < DEEPEST else 1 << 62)
+            # Nodes of several classes, each member with one of the main class.
+            mixed = scratch.write(
+                grouped.join(several, F.col("path") == F.col("_path")).select(
+                    "path", "slot", "id", "class", "main", "pivot", cheap.alias("cheap")),
+                f"mixed{level}_{star}")
+            scratch.drop(f"members{level}" if star == 0 else f"mixed{level}_{star - 1}")
+            members = mixed.where(F.col("class") != F.col("main")).select(
+                "path", "slot", "id", "pivot").unionByName(mixed.where(
+                    F.col("class") == F.col("main")).select(
+                    "path", "slot", "id", F.col("id").alias("pivot")))
+        some = mixed.where("cheap").drop("cheap", "pivot")
         one = some.join(_side(nodes, "id", "_x"), "id")
         two = some.where(F.col("class") != F.col("main")).select(
             F.col("path").alias("_path"), F.col("id").alias("other"),
             F.col("class").alias("_class")).join(_side(nodes, "other", "_y"), "other")
+        first = F.lit(True)
+        if level == 0:
+            # In the first of the nodes that hold both.
+            for slot in range(sum(map(len, ROOTS))):
+                first = first & ((F.col("slot") <= slot) | (
+                    F.get("_xs", F.lit(slot)) != F.get("_ys", F.lit(slot))))
         pairs = one.join(two, (
             (F.col("path") == F.col("_path")) & (F.col("class") != F.col("_class"))
             # Two members outside the main class meet once.
             & ((F.col("class") == F.col("main")) | (F.col("id") < F.col("other")))
-            & _near("_x", "_y", percent)))
+            & _near("_x", "_y", percent) & first))
         links = confirm.exact(pairs.select(
             F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
         if links is not None:
@@ -342,7 +366,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             break
         frontier = onward.join(nodes.select(F.col("id").alias("_node"), "sketch"),
                                F.col("id") == F.col("_node")).select(
-            "id", F.explode(_branches(F.col("path"), F.col("sketch"))).alias("path"))
+            "id", F.lit(0).alias("slot"),
+            F.explode(_branches(F.col("path"), F.col("sketch"))).alias("path"))
 
     known = joined.of(named, "id", "component")
     out = rows.select("doc_id", "n_shingles", "set_id").join(
