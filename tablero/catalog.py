@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping
+from decimal import Decimal
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablero import stored
 from tablero.functions import money, periods
@@ -145,7 +146,50 @@ def _client_ltv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _constraints(spark: SparkSession, path: str) -> DataFrame:
-    return integrity.constraint_report(RetailModel(spark, path))
+    return _without_line_ids(integrity.constraint_report(RetailModel(spark, path)))
+
+
+def _without_line_ids(report: DataFrame) -> DataFrame:
+    """Line ids of the mapped tables differ from scan to scan, so no example shows them."""
+    line = (F.col("tabla") == F.lit("items_orden")) & ~F.col("tipo").isin("unico", "referencia")
+    return report.withColumn("ejemplo", F.when(line & F.col("ejemplo").isNotNull(), F.lit("-"))
+                             .otherwise(F.col("ejemplo")))
+
+
+def _planted(spark: SparkSession, path: str) -> DataFrame:
+    """The report over the same tables with rows that break a rule of every kind."""
+    t = dict(RetailModel(spark, path))
+    i, order = F.col("id"), F.col("orden_id")
+
+    def where(column: Column, n: int, rest: int, value: object, otherwise: Column) -> Column:
+        return F.when(column % n == rest, value).otherwise(otherwise)
+
+    credit = F.col("limite_credito").cast("decimal(22,4)")
+    t["clientes"] = t["clientes"].withColumns({
+        "nombre": where(i, 50, 0, F.lit(None), where(
+            i, 50, 1, F.repeat(F.lit("n"), 300), F.col("nombre"))),
+        "segmento": where(i, 70, 1, F.lit("oro"), F.col("segmento")),
+        "email": where(i, 90, 2, F.lit("c1@empresa.com"), where(
+            i, 90, 3, F.lit(None), F.col("email"))),
+        "limite_credito": (credit + F.when(i % 20 == 4, F.lit(Decimal("0.005"))).when(
+            i % 20 == 5, F.lit(Decimal(90_000_000_000_000))).otherwise(F.lit(0))
+        ).cast("decimal(25,4)"),
+    })
+    t["ordenes"] = t["ordenes"].withColumns({
+        "id": where(i, 100, 7, i - 1, i),
+        "cliente_id": where(i, 200, 9, -i, where(i, 200, 10, F.lit(None), F.col("cliente_id"))),
+        "vendedor_id": where(i, 300, 11, F.lit(-3), F.col("vendedor_id")),
+        "estado": where(i, 400, 12, F.lit("perdido"), F.col("estado")),
+    })
+    t["items_orden"] = t["items_orden"].withColumns({
+        "cantidad": where(order, 300, 5, F.lit(0), F.col("cantidad")),
+        "producto_id": where(order, 500, 6, F.lit(0), F.col("producto_id")),
+    })
+    t["campanas_clientes"] = t["campanas_clientes"].withColumns({
+        "campana_id": where(i, 40, 1, F.lit(99), F.col("campana_id")),
+        "cliente_id": where(i, 40, 2, F.lit(1), F.col("cliente_id")),
+    })
+    return _without_line_ids(integrity.constraint_report(t))
 
 
 def _delete_cascade(spark: SparkSession, path: str) -> DataFrame:
@@ -336,6 +380,7 @@ JOBS: dict[str, Query] = {
     "m_order_totals_delta": _order_totals_delta,
     "m_client_ltv": _client_ltv,
     "m_constraints": _constraints,
+    "m_constraints_plantadas": _planted,
     "m_delete_cascade": _delete_cascade,
     "m_soft_delete": _soft_delete,
     "m_refresh_mvs": _refresh,

@@ -3,19 +3,24 @@ r"""Personal data: base patterns, and terms that reveal the entities they name.
 Base spans are emails, IP addresses, card and phone numbers, leftmost and non-overlapping per
 kind, in code points. Their positions follow from the pieces between the matches.
 
-Every base span is an entity. Its context is the line around it, and the distinct lines of the
-corpus are the sample that probabilities are estimated on, so copies prove nothing twice. With
-n(.) the number of distinct lines, a term t discloses entity e by
-
-    PMI(e, t) / IC(e) = log(N n(e, t) / (n(e) n(t))) / log(N / n(e)),
-
-which is 1 when e always is on the term's lines: the term then reveals all there is to know.
-Terms at or above ``disclosure`` that share at least ``support`` lines with the entity are
-sanitised in every document that names it: numbers are generalised, other terms removed.
-
-Nulls: a null text has no spans. Repeated rows count as one sample and are each returned.
-Empty tables give empty results. Other columns are ignored. Built-in expressions only; all
-repeated groups are possessive, so long texts neither backtrack nor recurse.
+Every base span is an entity. Its context is the text between it and the next matches of its
+kind in its line, and the distinct lines of the corpus are the sample that probabilities are
+estimated on, so copies prove nothing twice. With n(.) the number of distinct lines of N, and
+``DISCOUNT`` of a line taken off what is seen together, as a single meeting may be chance, a
+term t discloses entity e by
+
+    PMI(e, t) / IC(e) = log(N (n(e, t) - DISCOUNT) / (n(e) n(t))) / log(N / n(e)),
+
+which nears 1 when e is on all the term's lines: the term then reveals all there is to know.
+Terms at or above ``disclosure`` are sanitised in every text, also where the entity itself is
+not named: numbers are generalised, other terms removed.
+
+Nulls: a null text has no spans. Repeated rows count as one sample and are each returned. Ties
+cannot arise: every match and every term at the threshold counts. Very long texts are taken
+whole; the words of one are numbered in one task, and many matches in one text cost their
+number to the power 3/2. Empty tables give empty results. Other columns are ignored. Built-in
+expressions only; all repeated groups are possessive, so long texts neither backtrack nor
+recurse.
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ from tablero.llm.shared import BLANK_RUN, LOWER, UPPER, Scratch, table
 
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
-SUPPORT = 3
+DISCOUNT = 0.5
 DISCLOSURE = 0.9
+# 64-bit words of a filter that spares most other terms the shuffle, whatever there is to find.
+FILTER = 1 << 14
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 # A run of these is entered at its start or where the last match ended, never again inside.
@@ -39,6 +46,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 # A text without this cannot match.
 HINTS = {
     "email": lambda t: F.contains(t, F.lit("@")),
@@ -88,24 +96,38 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         )
     ])
 
+    # Appending copies a list, so matches are placed in short stretches: the starts of the
+    # stretches first, then the matches of each. What is used more than once is a column.
+    df = df.select("*", *[F.zip_with(
+        F.slice(f"_b_{kind}", F.lit(1), F.size(f"_m_{kind}")), f"_m_{kind}", lambda b, m: F.struct(
+            F.length(b).alias("b"), F.length(m).alias("m"), m.alias("value"))).alias(f"_z_{kind}")
+        for kind in KINDS])
+
+    def stretches(found: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(found))).cast("int")
+        return F.when(F.size(found) > 0, F.transform(
+            F.sequence(F.lit(1), F.size(found), step), lambda i: F.slice(found, i, step)))
+
+    df = df.select("*", *[stretches(F.col(f"_z_{kind}")).alias(f"_s_{kind}") for kind in KINDS])
+
+    def length(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0), lambda a, s: a + s["b"] + s["m"])
+
     def placed(kind: str) -> Column:
-        between, found = F.col(f"_b_{kind}"), F.col(f"_m_{kind}")
-        # Lengths of piece and match, then their running sums, one by one from the left.
-        sizes = F.zip_with(between, found, lambda b, m: F.struct(
-            F.length(b).alias("b"), F.length(m).alias("m"), m.alias("value")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(
-            "array<struct<kind:int,start:int,end:int,value:string>>").alias("out"))
-        walked = F.aggregate(
-            F.filter(sizes, lambda s: s["value"].isNotNull()), start,
-            lambda a, s: F.struct(
-                (a["at"] + s["b"] + s["m"]).alias("at"),
-                F.when(_valid(kind, s["value"]), F.concat(a["out"], F.array(F.struct(
+        none, parts = F.array().cast(_SPANS), F.col(f"_s_{kind}")
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(F.transform(parts, length), begin, lambda a, n: F.struct(
+            (a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+        def spans(some: Column, at: Column) -> Column:
+            return F.aggregate(some, F.struct(at.alias("at"), none.alias("out")), lambda a, s: F.struct(
+                (a["at"] + s["b"] + s["m"]).alias("at"), F.concat(a["out"], F.array(F.struct(
                     F.lit(KINDS.index(kind)).alias("kind"), (a["at"] + s["b"]).alias("start"),
                     (a["at"] + s["b"] + s["m"]).alias("end"), s["value"].alias("value"),
-                )))).otherwise(a["out"]).alias("out"),
-            ),
-        )
-        return F.when(F.size(found) > 0, walked["out"]).otherwise(start["out"])
+                ))).alias("out")))["out"]
+
+        whole = F.flatten(F.zip_with(parts, starts, spans))
+        return F.coalesce(F.filter(whole, lambda s: _valid(kind, s["value"])), none)
 
     return df.select(*docs.columns, F.concat(*map(placed, KINDS)).alias("spans"))
 
@@ -125,59 +147,85 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat(kind.cast("string"), F.lit(":"), same)
 
 
-def disclosing(docs: DataFrame, spotted: DataFrame, scratch: Scratch, text: str = "text",
-               support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) pairs above the threshold; ``spotted`` has text and its spans."""
-    blank_run = F.lit(BLANK_RUN)
-    named = spotted.select(F.col(text).alias("_text"), F.explode("spans").alias("s"))
-    before = F.substring(F.col("_text"), F.lit(1), F.col("s.start"))
-    after = F.substring(F.col("_text"), F.col("s.end") + 1, F.length("_text"))
-    contexts = named.select(
-        _entity(F.col("s.kind"), F.col("s.value")).alias("entity"),
-        F.concat(F.substring_index(before, "\n", -1), F.lit(" "),
-                 F.substring_index(after, "\n", 1)).alias("context"),
-        F.unhex(F.md5(F.concat(F.substring_index(before, "\n", -1), F.col("s.value"),
-                               F.substring_index(after, "\n", 1)))).alias("line"),
-    ).dropDuplicates(["entity", "line"])
-    contexts = scratch.write(contexts, "contexts")
-    entities = scratch.write(
-        contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-        .where(F.col("n_e") >= support), "entities")
-    lines = docs.select(F.explode(F.split(F.col(text), "\n", -1)).alias("_line"))
-    digest = F.unhex(F.md5("_line"))
-    total = lines.select(digest.alias("d")).distinct().agg(F.count(F.lit(1)).alias("n"))
-    n = F.lit(float(max(total.first()["n"], 1)))
+def _lines(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
+    """A row per line: the columns, ``line`` and its digest ``d``."""
+    return docs.select(*columns, F.explode(F.split(F.col(text), "\n", -1)).alias("line")).withColumn(
+        "d", F.unhex(F.md5("line")))
+
+
+def contexts(lines: DataFrame) -> DataFrame:
+    """(entity, d, left, right): each entity in each distinct line, and what is around it."""
+    hit = F.lit(False)
+    for kind in KINDS:
+        hit = hit | HINTS[kind](F.col("line"))
+    some = lines.where(hit).select("line", "d").dropDuplicates(["d"])
+    parts = []
+    for kind_id, kind in enumerate(KINDS):
+        found = some.select("d", F.split("line", PATTERNS[kind], -1).alias("b"), F.regexp_extract_all(
+            "line", F.lit(PATTERNS[kind]), F.lit(0)).alias("m")).where(F.size("m") > 0)
+        parts.append(found.select("d", F.inline(F.arrays_zip(
+            F.col("m").alias("value"), F.slice("b", F.lit(1), F.size("m")).alias("left"),
+            F.slice("b", F.lit(2), F.size("m")).alias("right")))).where(
+            _valid(kind, F.col("value"))).select(
+            _entity(F.lit(kind_id), F.col("value")).alias("entity"), "d", "left", "right"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _terms(*texts: str) -> Column:
+    """The distinct terms of some texts."""
+    words = F.concat(*[F.split(t, BLANK_RUN, -1) for t in texts])
+    return F.filter(F.array_distinct(F.transform(words, _term)), lambda t: t != "")
+
+
+def _bits(terms: DataFrame) -> Column:
+    """A filter over column ``term`` that passes all the given terms and few others."""
+    place = F.pmod(F.xxhash64("term"), F.lit(64 * FILTER))
+    rows = terms.select(place.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 64).cast("int")))
+        .alias("b")).collect()  # FILTER rows at most
+    words = [0] * FILTER
+    for row in rows:
+        words[row["w"]] = row["b"]
+    literal = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    held = F.get(literal, F.floor(place / 64).cast("int"))
+    return F.getbit(held, (place % 64).cast("int")) == 1
+
+
+def disclosing(docs: DataFrame, scratch: Scratch, text: str = "text",
+               disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, disclosure) at or above the threshold, and (d, term): the lines, by their
+    digest, that hold such a term."""
+    lines = _lines(docs, text)
+    near = scratch.write(contexts(lines), "contexts")
+    by_line = near.select("entity", "d", F.explode(_terms("left", "right")).alias("term")).distinct()
+    entities = near.groupBy("entity").agg(F.count_distinct("d").alias("n_e"))
+    n = F.lit(float(max(lines.select("d").distinct().count(), 1)))
 
     def revealed(n_t: str) -> Column:
-        return F.log(n * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / F.log(
+        return F.log(n * (F.col("n_et") - DISCOUNT) / (F.col("n_e") * F.col(n_t))) / F.log(
             n / F.col("n_e"))
 
-    by_line = contexts.select("entity", "line", F.explode(F.array_distinct(F.transform(
-        F.split("context", blank_run), _term))).alias("term")).where("term <> ''")
     # The entities' own lines already bound how rare a term can be: most words end here, and
     # the corpus is counted for the others only.
-    least = by_line.select("term", "line").distinct().groupBy(F.col("term").alias("_t")).agg(
+    least = by_line.select("term", "d").distinct().groupBy(F.col("term").alias("_t")).agg(
         F.count(F.lit(1)).alias("least"))
-    pairs = by_line.join(
-        entities.select(F.col("entity").alias("_e"), "n_e"), F.col("entity") == F.col("_e")
-    ).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).where(
-        (F.col("n_et") >= support) & (F.col("n_e") < n))
+    pairs = by_line.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).join(
+        entities, "entity").where(F.col("n_e") < n)
     pairs = scratch.write(
         pairs.join(least, F.col("term") == F.col("_t")).where(revealed("least") >= disclosure)
         .drop("_t", "least"), "pairs")
-    wanted = pairs.select(F.col("term").alias("_t")).distinct()
-    terms = lines.select(digest.alias("d"), F.explode(F.transform(
-        F.split("_line", blank_run), _term)).alias("term"))
-    counts = terms.join(wanted, F.col("term") == F.col("_t"), "left_semi").distinct().groupBy(
-        F.col("term").alias("_t")).agg(F.count(F.lit(1)).alias("n_t"))
-    found = pairs.join(counts, F.col("term") == F.col("_t")).where(
-        revealed("n_t") >= disclosure)
-    return scratch.write(
-        found.select("entity", "term", revealed("n_t").alias("disclosure")), "found")
-
-
-def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT,
-             disclosure: float = DISCLOSURE) -> DataFrame:
+    wanted = scratch.write(pairs.select("term").distinct(), "wanted")
+    some = lines.select("d", F.explode(_terms("line")).alias("term")).where(_bits(wanted))
+    held = scratch.write(some.join(wanted, "term", "left_semi").distinct(), "held")
+    counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    found = scratch.write(
+        pairs.join(counts, "term").where(revealed("n_t") >= disclosure)
+        .select("entity", "term", revealed("n_t").alias("disclosure")), "found")
+    terms = found.select("term").distinct()
+    return found, scratch.write(held.join(terms, "term", "left_semi").select("d", "term"), "hits")
+
+
+def sanitise(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """Adds ``spans``: the base ones, then those of disclosing terms, kind ``len(KINDS)``.
 
     A text's spans depend on the text alone, so added ones are found once per distinct text.
@@ -185,43 +233,49 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT,
     """
     scratch = Scratch(docs.sparkSession, "private-data")
     digest = F.unhex(F.md5(F.col(text)))
-    spotted = scratch.write(
-        with_spans(docs.select(text), text).where(F.size("spans") > 0)
-        .select(digest.alias("_id"), text, "spans").dropDuplicates(["_id"]), "spotted")
-    found = disclosing(docs, spotted, scratch, text, support, disclosure)
-
-    entities = spotted.select("_id", F.explode("spans").alias("s")).select(
-        "_id", _entity(F.col("s.kind"), F.col("s.value")).alias("entity")).distinct()
-    hidden = entities.join(found, "entity").select("_id", "term").distinct()
-    hidden = hidden.groupBy("_id").agg(F.collect_set("term").alias("_terms"))
-    words = spotted.join(hidden.select(F.col("_id").alias("_i"), "_terms"),
-                         F.col("_id") == F.col("_i")).select(
-        "_id", "_terms", "spans", F.posexplode(F.arrays_zip(
-            F.split(F.col(text), BLANK_RUN, -1).alias("word"),
-            F.regexp_extract_all(F.col(text), F.lit(BLANK_RUN), F.lit(0)).alias("gap"),
-        )).alias("_k", "_w"))
-    before = Window.partitionBy("_id").orderBy("_k").rowsBetween(
-        Window.unboundedPreceding, -1)
-    size = F.length("_w.word") + F.coalesce(F.length("_w.gap"), F.lit(0))
-    lead = F.instr(_lowered(F.col("_w.word")), F.col("_term")) - 1
-    words = words.withColumn("_from", F.coalesce(F.sum(size).over(before), F.lit(0))).withColumn(
-        "_term", _term(F.col("_w.word"))).where("_term <> ''").where(
-        F.array_contains("_terms", F.col("_term")))
-    spans = words.select("_id", "spans", F.struct(
-        F.lit(len(KINDS)).alias("kind"), (F.col("_from") + lead).cast("int").alias("start"),
-        (F.col("_from") + lead + F.length("_term")).cast("int").alias("end"),
-        F.substring(F.col("_w.word"), lead + 1, F.length("_term")).alias("value")).alias("s"))
-    clear = ~F.exists("spans", lambda b: (b["start"] < F.col("s.end"))
-                      & (b["end"] > F.col("s.start")))
-    added = scratch.write(spans.where(clear).groupBy(F.col("_id").alias("_i")).agg(
-        F.sort_array(F.collect_list("s")).alias("_added")), "added")
+    _, hits = disclosing(docs, scratch, text, disclosure)
+    # The terms of each text, by its lines.
+    hidden = _lines(docs, text, digest.alias("_id")).select("_id", "d").join(
+        hits, "d").select("_id", "term").distinct().groupBy("_id").agg(
+        F.collect_set("term").alias("_terms"))
+    hidden = scratch.write(hidden, "hidden").select(F.col("_id").alias("_i"), "_terms")
+    texts = docs.select(digest.alias("_id"), F.col(text).alias("_text")).join(
+        hidden, F.col("_id") == F.col("_i")).dropDuplicates(["_id"])
+    word, term = F.col("_w.word"), _term(F.col("_w.word"))
+    words = texts.select("_id", "_terms", F.posexplode(F.arrays_zip(
+        F.split("_text", BLANK_RUN, -1).alias("word"),
+        F.regexp_extract_all("_text", F.lit(BLANK_RUN), F.lit(0)).alias("gap"),
+    )).alias("_k", "_w")).select(
+        "_id", "_k", (F.length(word) + F.coalesce(F.length("_w.gap"), F.lit(0))).alias("_size"),
+        F.when(F.array_contains("_terms", term), F.struct(
+            term.alias("term"), word.alias("word"))).alias("_hit"))
+    before = Window.partitionBy("_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    lead = F.instr(_lowered(F.col("_hit.word")), F.col("_hit.term")) - 1
+    start = (F.coalesce(F.sum("_size").over(before), F.lit(0)) + lead).cast("int")
+    terms = words.withColumn("start", start).where("_hit is not null").select(
+        "_id", F.lit(len(KINDS)).alias("kind"), "start",
+        (F.col("start") + F.length("_hit.term")).alias("end"),
+        F.substring("_hit.word", lead + 1, F.length("_hit.term")).alias("value"))
+    others = with_spans(texts.select("_id", "_text"), "_text").select("_id", F.inline("spans"))
+    # A term is clear if no base span that begins before it ends in or after it, nor any begins
+    # inside it.
+    order = Window.partitionBy("_id").orderBy("start", "kind")
+    is_base = F.col("kind") < len(KINDS)
+    reached = F.max(F.when(is_base, F.col("end"))).over(
+        order.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.min(F.when(is_base, F.col("start"))).over(
+        order.rowsBetween(1, Window.unboundedFollowing))
+    clear = terms.unionByName(others).select("*", reached.alias("_r"), following.alias("_f")).where(
+        ~is_base & (F.coalesce("_r", F.lit(0)) <= F.col("start"))
+        & (F.coalesce("_f", F.col("end")) >= F.col("end")))
+    added = scratch.write(clear.groupBy(F.col("_id").alias("_i")).agg(F.sort_array(F.collect_list(
+        F.struct("kind", "start", "end", "value"))).alias("_added")), "added")
     # The row in one column: whatever its columns are called, they clash with nothing here.
     base = with_spans(docs.select(
         F.struct(*[c for c in docs.columns if c != "spans"]).alias("_row"),
         F.col(text).alias("_text"), digest.alias("_id")), "_text")
     return base.join(added, F.col("_id") == F.col("_i"), "left").select(
-        "_row.*", F.concat("spans", F.coalesce(
-            "_added", F.array().cast(base.schema["spans"].dataType))).alias("spans"))
+        "_row.*", F.concat("spans", F.coalesce("_added", F.array().cast(_SPANS))).alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -290,6 +344,12 @@ def sql() -> str:
         f" regexp_extract_all(text, '{plain[kind]}') AS m,"
         f" regexp_split_to_array(text, '{plain[kind]}') AS b FROM d))"
         for k, kind in enumerate(KINDS))
+    near = "\n  UNION ALL ".join(
+        f"SELECT line, {k} AS kind, m[i] AS value, b[i] AS l, b[i + 1] AS r FROM (SELECT line, m, b,"
+        f" unnest(range(1, len(m) + 1)) AS i FROM (SELECT line,"
+        f" regexp_extract_all(line, '{plain[kind]}') AS m,"
+        f" regexp_split_to_array(line, '{plain[kind]}') AS b FROM lines))"
+        for k, kind in enumerate(KINDS))
     checks = " ".join(f"WHEN {k} THEN {valid[kind]}" for k, kind in enumerate(KINDS))
     names = "['email', 'ip', 'card', 'phone', 'term']"
     joined = (f"string_agg(({names})[kind + 1] || ':' || s || ':' || e, ','"
@@ -305,34 +365,36 @@ ends AS (
   SELECT *, sum(length(gap) + length(value)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e
   FROM raw),
 base AS (
-  SELECT doc_id, kind, (e - length(value))::BIGINT AS s, e::BIGINT AS e, value,
-    kind || ':' || CASE WHEN kind < 2 THEN {low.format('value')} ELSE {digits} END AS entity
-  FROM ends WHERE CASE kind {checks} END),
-ctx AS (
-  SELECT DISTINCT entity, string_split(substr(text, 1, s), chr(10))[-1] AS l, value,
-    string_split(substr(text, e + 1), chr(10))[1] AS r FROM base JOIN d USING (doc_id)),
+  SELECT doc_id, kind, (e - length(value))::BIGINT AS s, e::BIGINT AS e FROM ends WHERE CASE kind {checks} END),
+lines AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM documents),
+near AS ({near}),
 con AS (
-  SELECT entity, l || value || r AS line, min(l || ' ' || r) AS context
-  FROM ctx GROUP BY 1, 2),
-ne AS (SELECT entity, count(*) AS n_e FROM con GROUP BY entity HAVING count(*) >= {SUPPORT}),
+  SELECT line, l, r, kind || ':' || CASE WHEN kind < 2 THEN {low.format('value')}
+    ELSE {digits} END AS entity
+  FROM near WHERE CASE kind {checks} END),
+ne AS (SELECT entity, count(DISTINCT line) AS n_e FROM con GROUP BY entity),
 net AS (
-  SELECT entity, n_e, term, count(*) AS n_et FROM (
-    SELECT entity, n_e, unnest(list_distinct(list_transform(
-      regexp_split_to_array({low.format('context')}, '{blank}'), lambda x: {term}))) AS term
-    FROM con JOIN ne USING (entity))
-  WHERE term <> '' GROUP BY ALL HAVING count(*) >= {SUPPORT}),
-lines AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM documents),
+  SELECT entity, term, count(*) AS n_et FROM (
+    SELECT DISTINCT entity, line, unnest(list_transform(list_concat(
+      regexp_split_to_array({low.format('l')}, '{blank}'),
+      regexp_split_to_array({low.format('r')}, '{blank}')), lambda x: {term})) AS term
+    FROM con)
+  WHERE term <> '' GROUP BY entity, term),
 total AS (SELECT count(*)::DOUBLE AS n FROM lines),
-nt AS (
-  SELECT term, count(*) AS n_t FROM (
-    SELECT unnest(list_distinct(list_transform(
+held AS (
+  SELECT line, term FROM (
+    SELECT line, unnest(list_distinct(list_transform(
       regexp_split_to_array({low.format('line')}, '{blank}'), lambda x: {term}))) AS term
     FROM lines)
-  WHERE term IN (SELECT term FROM net) GROUP BY term),
+  WHERE term IN (SELECT term FROM net)),
+nt AS (SELECT term, count(*) AS n_t FROM held GROUP BY term),
 found AS (
-  SELECT entity, term FROM net JOIN nt USING (term), total WHERE n_e < n
-  AND ln(n * n_et / (n_e * n_t)) / ln(n / n_e) >= {DISCLOSURE}),
-hid AS (SELECT DISTINCT doc_id, term FROM base JOIN found USING (entity)),
+  SELECT DISTINCT term FROM net JOIN ne USING (entity) JOIN nt USING (term), total WHERE n_e < n
+  AND ln(n * (n_et - {DISCOUNT}) / (n_e * n_t)) / ln(n / n_e) >= {DISCLOSURE}),
+hid AS (
+  SELECT DISTINCT doc_id, term
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) JOIN held USING (line)
+  WHERE term IN (SELECT term FROM found)),
 w AS (
   SELECT doc_id, k, ws[k] AS word, gaps[k] AS gap FROM (
     SELECT doc_id, ws, gaps, unnest(range(1, len(ws) + 1)) AS k FROM (

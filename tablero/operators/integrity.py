@@ -180,59 +180,88 @@ def soft_delete_clients(clients: DataFrame, as_of: dt.date, months: int = 6) ->
 
 
 def constraint_report(t: Tables) -> DataFrame:
-    """Violations per rule: (tabla, regla, tipo, violaciones).
-
-    Row rules and key counts of a table come from one aggregation over it. A repeated key
-    counts its rows beyond the first; NULL never repeats.
+    """Violations per rule: (tabla, regla, tipo, violaciones, ejemplo).
+
+    Row rules of a table (required, condition, domain, length, precision) are one aggregation
+    over it; the example is the smallest id that breaks the rule. Keys and references of all
+    tables are one count per key value: a group holds how often a value is the key and how often
+    each reference names it, so it shows repeated keys and orphans at once, and a hot key is
+    counted up before it moves. A repeated key counts its rows beyond the first, NULL never
+    repeats; an orphan counts each of its rows; the example is the smallest value as text.
     """
-    reports = [_table_report(name, t[name]) for name in schemas.TABLES if name in t]
-    for ref in schemas.REFERENCES:
-        if ref.child in t and ref.parent in t:
-            reports.append(_orphans(t, ref))
-    return reduce(DataFrame.unionByName, reports).orderBy("tabla", "tipo", "regla")
+    found = reduce(DataFrame.unionByName,
+                   [_row_rules(name, t[name]) for name in schemas.TABLES if name in t])
+    return found.unionByName(_key_rules(t)).orderBy("tabla", "tipo", "regla")
 
 
-def _table_report(name: str, df: DataFrame) -> DataFrame:
+def _row_rules(name: str, df: DataFrame) -> DataFrame:
     rules: list[tuple[str, str, Column]] = []
     for column in ("id", *schemas.REQUIRED[name]):
-        rules.append((column, "no_nulo", money.count_if(F.col(column).isNull())))
+        rules.append((column, "no_nulo", F.col(column).isNull()))
     for rule, condition in schemas.CHECKS.get(name, {}).items():
-        rules.append((rule, "check", money.count_if(~F.expr(condition))))
+        rules.append((rule, "check", ~F.expr(condition)))
     for column, values in schemas.DOMAINS.get(name, {}).items():
-        rules.append((column, "dominio", money.count_if(~F.col(column).isin(values))))
-    for key in schemas.UNIQUE[name]:
-        complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
-        repeated = money.count_if(complete) - F.count_distinct(*key)
-        rules.append((",".join(key), "unico", repeated))
-    counts = df.agg(*[value.alias(f"_{i}") for i, (_, _, value) in enumerate(rules)])
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("tabla"),
-                F.lit(rule).alias("regla"),
-                F.lit(kind).alias("tipo"),
-                F.col(f"_{i}").alias("violaciones"),
-            )
-            for i, (rule, kind, _) in enumerate(rules)
-        ]
-    )
+        rules.append((column, "dominio", ~F.col(column).isin(values)))
+    for column, most in schemas.LENGTHS.get(name, {}).items():
+        rules.append((column, "longitud", F.char_length(column) > most))
+    given = dict(df.dtypes)
+    for column, kind in schemas.amounts(name).items():
+        typed = F.col(column).try_cast(kind)
+        broken = F.lit(False) if given[column] == kind else (
+            F.col(column).isNotNull() & ~F.col(column).eqNullSafe(typed))
+        rules.append((column, "precision", broken))
+    counts = df.agg(*[value for i, (_, _, broken) in enumerate(rules) for value in (
+        money.count_if(broken).alias(f"n{i}"),
+        F.min(F.when(broken, F.col("id"))).cast("string").alias(f"e{i}"))])
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("tabla"), F.lit(rule).alias("regla"), F.lit(kind).alias("tipo"),
+                 F.col(f"n{i}").alias("violaciones"), F.col(f"e{i}").alias("ejemplo"))
+        for i, (rule, kind, _) in enumerate(rules)
+    ])
     return counts.select(F.inline(rows))
 
 
-def _orphans(t: Tables, ref: schemas.Reference) -> DataFrame:
-    used = (
-        t[ref.child]
-        .filter(F.col(ref.column).isNotNull())
-        .groupBy(F.col(ref.column).alias("id"))
-        .agg(F.count(F.lit(1)).alias("filas"))
-    )
-    orphans = used.join(t[ref.parent].select("id"), "id", "left_anti")
-    return orphans.agg(F.coalesce(F.sum("filas"), F.lit(0)).alias("violaciones")).select(
-        F.lit(ref.child).alias("tabla"),
-        F.lit(f"{ref.column} -> {ref.parent}").alias("regla"),
-        F.lit("referencia").alias("tipo"),
-        "violaciones",
-    )
+def _key_rules(t: Tables) -> DataFrame:
+    """Repeated keys and orphans: a value's group is its key, its slot 0 the key's own rows and
+    the others the references to it."""
+    groups: list[tuple[str, tuple[str, ...]]] = [
+        (name, key) for name in schemas.TABLES if name in t for key in schemas.UNIQUE[name]]
+    slots: dict[schemas.Reference, tuple[int, int]] = {}
+    for ref in schemas.REFERENCES:
+        if ref.child in t and ref.parent in t:
+            group = groups.index((ref.parent, ("id",)))
+            slots[ref] = group, 1 + sum(g == group for g, _ in slots.values())
+    parts = []
+    for name in t:
+        values = [(groups.index((name, key)), 0, F.concat_ws(",", *key), key)
+                  for key in schemas.UNIQUE[name]]
+        values += [(*place, F.col(ref.column).cast("string"), (ref.column,))
+                   for ref, place in slots.items() if ref.child == name]
+        parts.append(t[name].select(F.inline(F.array(*[
+            F.struct(F.lit(group).alias("grupo"), F.lit(slot).alias("lugar"), F.when(
+                reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]), value)
+                .alias("valor"))
+            for group, slot, value, columns in values]))).filter("valor is not null"))
+    most = max((slot for _, slot in slots.values()), default=0)
+    counted = reduce(DataFrame.unionByName, parts).groupBy("grupo", "valor").agg(
+        *[money.count_if(F.col("lugar") == k).alias(f"n{k}") for k in range(most + 1)])
+    repeated, orphan = F.col("n0") > 1, F.col("n0") == 0
+    found = counted.groupBy("grupo").agg(
+        F.sum(F.when(repeated, F.col("n0") - 1)).alias("v0"),
+        F.min(F.when(repeated, F.col("valor"))).alias("e0"),
+        *[value for k in range(1, most + 1) for value in (
+            F.sum(F.when(orphan, F.col(f"n{k}"))).alias(f"v{k}"),
+            F.min(F.when(orphan & (F.col(f"n{k}") > 0), F.col("valor"))).alias(f"e{k}"))])
+    rules = [(g, 0, name, ",".join(key), "unico") for g, (name, key) in enumerate(groups)]
+    rules += [(g, slot, ref.child, f"{ref.column} -> {ref.parent}", "referencia")
+              for ref, (g, slot) in slots.items()]
+    known = t[next(iter(t))].sparkSession.createDataFrame(
+        rules, "grupo int, lugar int, tabla string, regla string, tipo string")
+    pick = [F.when(F.col("lugar") == k, F.struct(F.col(f"v{k}").alias("v"), F.col(f"e{k}").alias("e")))
+            for k in range(most + 1)]
+    return known.join(found, "grupo", "left").withColumn("_", F.coalesce(*pick)).select(
+        "tabla", "regla", "tipo", F.coalesce(F.col("_.v"), F.lit(0)).alias("violaciones"),
+        F.col("_.e").alias("ejemplo"))
 
 
 def delete_keys(t: Tables, table: str, keys: DataFrame) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tablero import schemas
 from tablero.oracle.kit import AS_OF, LIVE, tables
 from tablero.oracle.views import SQL as VIEWS
@@ -70,40 +72,113 @@ free AS (SELECT id FROM ordenes WHERE estado = 'cancelado' AND id NOT IN
 """ + "\nUNION ALL ".join(_SUMMARIES)
 
 
-def _constraints() -> str:
+# Amounts by table with their declared precision and scale.
+_AMOUNTS = {
+    "clientes": {"limite_credito": "15,2", "valor_vida_total": "15,2"},
+    "productos": {"precio_lista": "10,2", "precio_costo": "10,2", "peso_kg": "8,2",
+                  "volumen_m3": "8,3"},
+    "vendedores": {"tasa_comision": "5,2", "cuota_mensual": "15,2"},
+    "ordenes": {"subtotal": "15,2", "monto_descuento": "15,2", "porcentaje_descuento": "5,2",
+                "monto_impuesto": "15,2", "costo_envio": "15,2", "monto_total": "15,2"},
+    "items_orden": {"precio_unitario": "10,2", "porcentaje_descuento": "5,2",
+                    "total_linea": "15,2"},
+    "pagos": {"monto": "15,2"},
+    "devoluciones": {"monto_reembolso": "15,2"},
+    "campanas": {"presupuesto": "15,2", "gasto_real": "15,2", "ingresos_generados": "15,2"},
+}
+
+# Rows that break a rule of each kind, by table and column.
+_PLANTED = {
+    "clientes": {
+        "nombre": "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 50 = 1 THEN repeat('n', 300) "
+                  "ELSE nombre END",
+        "segmento": "CASE WHEN id % 70 = 1 THEN 'oro' ELSE segmento END",
+        "email": "CASE WHEN id % 90 = 2 THEN 'c1@empresa.com' WHEN id % 90 = 3 THEN NULL "
+                 "ELSE email END",
+        "limite_credito": "CAST(limite_credito AS DECIMAL(22,4)) + CASE WHEN id % 20 = 4 THEN "
+                          "CAST('0.0050' AS DECIMAL(22,4)) WHEN id % 20 = 5 THEN "
+                          "CAST('90000000000000' AS DECIMAL(22,4)) ELSE 0 END",
+    },
+    "ordenes": {
+        "id": "CASE WHEN id % 100 = 7 THEN id - 1 ELSE id END",
+        "cliente_id": "CASE WHEN id % 200 = 9 THEN -id WHEN id % 200 = 10 THEN NULL "
+                      "ELSE cliente_id END",
+        "vendedor_id": "CASE WHEN id % 300 = 11 THEN -3 ELSE vendedor_id END",
+        "estado": "CASE WHEN id % 400 = 12 THEN 'perdido' ELSE estado END",
+    },
+    "items_orden": {
+        "cantidad": "CASE WHEN orden_id % 300 = 5 THEN 0 ELSE cantidad END",
+        "producto_id": "CASE WHEN orden_id % 500 = 6 THEN 0 ELSE producto_id END",
+    },
+    "campanas_clientes": {
+        "campana_id": "CASE WHEN id % 40 = 1 THEN 99 ELSE campana_id END",
+        "cliente_id": "CASE WHEN id % 40 = 2 THEN 1 ELSE cliente_id END",
+    },
+}
+
+
+def _constraints(planted: dict[str, dict[str, str]]) -> str:
+    text = "CAST({} AS VARCHAR)".format
     rows: list[tuple[str, str, str, str]] = []
+
+    def row_rule(table: str, rule: str, kind: str, broken: str) -> None:
+        # Line ids of the mapped tables differ from scan to scan.
+        smallest = "'-'" if table == "items_orden" else text("min(id)")
+        rows.append((table, rule, kind, f"SELECT count(*) AS v, CASE WHEN count(*) > 0 THEN "
+                     f"{smallest} END AS e FROM {table} WHERE {broken}"))
+
+    def is_known(table: str, *columns: str) -> bool:
+        return all(c in EXPRESSIONS[table] or c in planted.get(table, {}) for c in columns)
+
+    none = "SELECT 0 AS v, CAST(NULL AS VARCHAR) AS e"
     for table in EXPRESSIONS:
-        known = EXPRESSIONS[table]
         for column in ("id", *schemas.REQUIRED[table]):
-            rows.append((table, column, "no_nulo",
-                         f"SELECT count(*) - count({column}) FROM {table}"))
+            row_rule(table, column, "no_nulo", f"{column} IS NULL")
         for rule, condition in schemas.CHECKS.get(table, {}).items():
-            rows.append((table, rule, "check", f"SELECT count(*) FROM {table} "
-                                               f"WHERE NOT ({condition})"))
+            row_rule(table, rule, "check", f"NOT ({condition})")
         for column, values in schemas.DOMAINS.get(table, {}).items():
             words = ", ".join(f"'{v}'" for v in values)
-            rows.append((table, column, "dominio",
-                         f"SELECT count(*) FROM {table} WHERE {column} NOT IN ({words})"))
+            row_rule(table, column, "dominio", f"{column} NOT IN ({words})")
+        for column, most in schemas.LENGTHS.get(table, {}).items():
+            if is_known(table, column):
+                row_rule(table, column, "longitud", f"length({column}) > {most}")
+            else:
+                rows.append((table, column, "longitud", none))
+        for column, kind in _AMOUNTS.get(table, {}).items():
+            if column in planted.get(table, {}):
+                row_rule(table, column, "precision", f"{column} IS NOT NULL AND {column} IS "
+                         f"DISTINCT FROM TRY_CAST({column} AS DECIMAL({kind}))")
+            else:
+                rows.append((table, column, "precision", none))
         for key in schemas.UNIQUE[table]:
-            given = all(c in known for c in key)
-            rows.append((table, ",".join(key), "unico",
-                         f"SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM {table} "
-                         f"GROUP BY {', '.join(key)})" if given else "SELECT 0"))
+            value = " || ',' || ".join(text(c) for c in key)
+            rows.append((table, ",".join(key), "unico", (
+                f"SELECT coalesce(sum(n - 1), 0) AS v, min(k) AS e FROM (SELECT {value} AS k, "
+                f"count(*) AS n FROM {table} WHERE {value} IS NOT NULL GROUP BY 1 "
+                f"HAVING count(*) > 1)") if is_known(table, *key) else none))
     for ref in schemas.REFERENCES:
-        given = ref.column in EXPRESSIONS[ref.child]
-        rows.append((ref.child, f"{ref.column} -> {ref.parent}", "referencia",
-                     f"SELECT count(*) FROM {ref.child} c WHERE {ref.column} IS NOT NULL AND "
-                     f"NOT EXISTS (SELECT 1 FROM {ref.parent} p WHERE p.id = c.{ref.column})"
-                     if given else "SELECT 0"))
+        rows.append((ref.child, f"{ref.column} -> {ref.parent}", "referencia", (
+            f"SELECT count(*) AS v, min({text(ref.column)}) AS e FROM {ref.child} c "
+            f"WHERE {ref.column} IS NOT NULL AND "
+            f"NOT EXISTS (SELECT 1 FROM {ref.parent} p WHERE p.id = c.{ref.column})")
+            if is_known(ref.child, ref.column) else none))
     body = "\nUNION ALL ".join(
         f"SELECT '{t}' AS tabla, '{rule}' AS regla, '{kind}' AS tipo, "
-        f"CAST(({sql}) AS BIGINT) AS violaciones"
+        f"CAST(v AS BIGINT) AS violaciones, e AS ejemplo FROM ({sql})"
         for t, rule, kind, sql in rows
     )
-    return f"{tables(*EXPRESSIONS)}\n{body}"
-
-
-SQL["m_constraints"] = _constraints()
+    head = tables(*EXPRESSIONS)
+    for table, columns in planted.items():
+        # Tables that were mapped from a changed one keep the rows they had.
+        changed = ", ".join(f"{value} AS {column}" for column, value in columns.items())
+        head += (f",\n{table}_mal AS (SELECT * REPLACE ({changed}) FROM {table})"
+                 if set(columns) <= set(EXPRESSIONS[table]) else "")
+        body = re.sub(rf"FROM {table}\b", f"FROM {table}_mal", body)
+    return f"{head}\n{body}"
+
+
+SQL["m_constraints"] = _constraints({})
+SQL["m_constraints_plantadas"] = _constraints(_PLANTED)
 
 SQL["m_refresh_mvs"] = f"""SELECT 'mv_tendencia_ventas_mensual' AS nombre_vista,
   'completado' AS estado, (SELECT count(*) FROM ({VIEWS["mv_tendencia_ventas_mensual"]})) AS filas
