@@ -17,14 +17,18 @@ passages that hold any of them within the item's length count together, with wha
 them; the score is that of the best segment. The answer is the last sentence, or the last
 third of a text of one sentence.
 
-The index is built in shards of at most ``SHARD_WORDS`` words, each broadcast on its own. Null
-and empty texts match nothing, nor do null ids of items; repeated rows are each searched.
+The index is built in shards of about ``SHARD_WORDS`` words, each broadcast on its own; the texts
+of an item are in one shard. How many segments hold a word, how many there are and how long they
+are is counted over all items, so a passage's scores do not depend on the number of shards.
+
+Null and empty texts match nothing, nor do null ids of items; repeated rows are each searched.
 Equal scores keep the earliest passage. Empty tables give empty results; extra columns stay.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +36,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablero.llm.shared import table
+from tablero.llm.shared import Scratch, table
 
 SEGMENT, PASSAGE = 64, 128
 BLOCK = 8
@@ -42,6 +46,9 @@ QUESTION = ANSWER = 0.5
 K1, B = 1.2, 0.75
 SHARD_WORDS = 1_000_000
 
+# No words: what counts of words say under these names.
+SEGMENTS, LENGTH = "", " "
+
 _WORD = re.compile(r"\w+")
 _FOUND = "doc_id long, item_id long, score double, question double, answer double, word long"
 
@@ -60,6 +67,13 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return every[:cut], every[cut:]
 
 
+def segments(text: str) -> list[list[str]]:
+    """The words of the item's segments, which are of nearly equal length."""
+    every = [w for part in parts(text) for w in part]
+    n = -(-len(every) // SEGMENT)
+    return [every[len(every) * i // n:len(every) * (i + 1) // n] for i in range(n)]
+
+
 def trigrams(some: list[str]) -> set[tuple[str, ...]]:
     n = min(3, len(some))
     return {tuple(some[i:i + n]) for i in range(len(some) - n + 1)} if n else set()
@@ -75,23 +89,27 @@ def held(wanted: set[tuple[str, ...]], passage: list[str]) -> float:
 
 
 class Index:
-    """Impacts by term and segment, and their maxima by term and block of segments."""
+    """Impacts by term and segment, and their maxima by term and block of segments.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    ``held`` tells how many segments hold each word where the items are part of a larger
+    collection, and under ``SEGMENTS`` and ``LENGTH`` how many these are and their words.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], held: dict[str, int] | None = None):
         self.ids: list[int] = []
         self.checks: list[tuple[set, set]] = []  # of the segment's whole item
         self.further: list[int] = []
         bags: list[list[str]] = []
         for item_id, text in items:
-            question, answer = parts(text)
-            every, check = question + answer, (trigrams(question), trigrams(answer))
-            n = -(-len(every) // SEGMENT)
-            for i in range(n):
+            check = tuple(trigrams(part) for part in parts(text))
+            cut = segments(text)
+            length = sum(map(len, cut))
+            for bag in cut:
                 self.ids.append(item_id)
                 self.checks.append(check)
                 # Passages after the first that the whole item can reach, wherever it begins.
-                self.further.append(-(-len(every) // (PASSAGE // 2)) if n > 1 else 0)
-                bags.append(every[len(every) * i // n:len(every) * (i + 1) // n])
+                self.further.append(-(-length // (PASSAGE // 2)) if len(cut) > 1 else 0)
+                bags.append(bag)
         self.terms = {w: t for t, w in enumerate(sorted({w for bag in bags for w in bag}))}
         n = len(bags)
         counted = [np.unique([self.terms[w] for w in bag], return_counts=True) for bag in bags]
@@ -99,9 +117,12 @@ class Index:
         count = np.concatenate([c for _, c in counted]).astype(float) if n else np.empty(0)
         segment = np.repeat(np.arange(n), [len(t) for t, _ in counted])
         length = np.array([len(bag) for bag in bags], float)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / (length.mean() if n else 1))
+        df, count_all, length_all = np.bincount(term, minlength=len(self.terms)), n, length.sum()
+        if held is not None:
+            df = np.array([held[w] for w in self.terms], int)
+            count_all, length_all = held.get(SEGMENTS, 0), held.get(LENGTH, 0)
+        idf = np.log(1 + (count_all - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * length / (length_all / max(count_all, 1) or 1))
         impact = idf[term] * count * (K1 + 1) / (count + norm[segment])
         impact /= np.bincount(segment, impact, n)[segment]
         order = np.lexsort((segment, term))
@@ -110,7 +131,7 @@ class Index:
         # Blocks: one entry per term and block that holds it.
         block = self.segment // BLOCK
         first = np.nonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))[0]
-        self.block = block[first]
+        self.block, self.posting_at = block[first], np.append(first, len(term))
         self.block_max = np.maximum.reduceat(self.impact, first) if n else self.impact
         self.block_at = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
         # Maxima over wide ranges of segments; a bounded number of them, so dense.
@@ -139,7 +160,7 @@ class Index:
         return (bounds[:-1] + again[1:]).max(axis=1)
 
     def _entries(self, at: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        """Positions of the lists of some terms."""
+        """Positions of the lists of some terms, or of some blocks of them."""
         sizes = at[terms + 1] - at[terms]
         starts = np.repeat(at[terms] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
         return starts + np.arange(sizes.sum())
@@ -151,9 +172,8 @@ class Index:
         open_ = reach >= least - 1e-9
         if not open_.any():
             return []
-        entries = self._entries(self.at, terms)
-        segments = self.segment[entries]
-        entries = entries[open_[segments // BLOCK]]
+        # The postings of open blocks alone.
+        entries = self._entries(self.posting_at, entries[open_[self.block[entries]]])
         scores = np.bincount(self.segment[entries], self.impact[entries])
         return [(int(s), float(scores[s])) for s in np.nonzero(scores >= least - 1e-9)[0]]
 
@@ -193,16 +213,40 @@ class Index:
         return [(item, *found) for item, found in sorted(best.items())]
 
 
+def _held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(shard, word, held): how many segments of some items hold the word."""
+    for batch in batches:
+        for shard, some in batch.groupby("shard"):
+            seen: Counter[str] = Counter()
+            for text in some["text"]:
+                for bag in segments(text):
+                    seen.update({*bag, SEGMENTS})
+                    seen[LENGTH] += len(bag)
+            yield pd.DataFrame({"shard": shard, "word": list(seen), "held": list(seen.values())})
+
+
 def _shards(items: DataFrame, text: str) -> Iterator[Index]:
-    """Indexes over parts of the items of a bounded size."""
+    """Indexes over parts of the items: of a bounded size, but for one longer item."""
     known = items.where(F.col("item_id").isNotNull() & F.col(text).isNotNull()).select(
         "item_id", F.col(text).alias("text")).distinct()
     # A word takes two characters at least, its blank included.
     size = known.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // (2 * SHARD_WORDS)))
+    if n == 1:
+        yield Index(sorted((r["item_id"], r["text"]) for r in known.collect()))
+        return
+    known = known.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))
+    scratch = Scratch(items.sparkSession, "decontamination")
+    own = scratch.write(known.select("shard", "text").mapInPandas(
+        _held, "shard int, word string, held long").groupBy("shard", "word").agg(
+        F.sum("held").alias("held")), "own")
+    # Of all shards, for the words of each.
+    counts = scratch.write(own.select("shard", "word").join(
+        own.groupBy("word").agg(F.sum("held").alias("held")), "word"), "counts")
     for k in range(n):
-        part = known if n == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), n) == k)
-        yield Index(sorted((r["item_id"], r["text"]) for r in part.collect()))
+        held = {r["word"]: r["held"] for r in counts.where(F.col("shard") == k).collect()}
+        part = known.where(F.col("shard") == k)
+        yield Index(sorted((r["item_id"], r["text"]) for r in part.collect()), held)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
