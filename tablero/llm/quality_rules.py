@@ -3,9 +3,10 @@
 Each rule rejects a document whose metric exceeds a cutoff. Per stratum and rule, labelled good
 documents test every cutoff of a fixed grid: with ``n`` good documents, ``k`` of them rejected,
 the exact binomial probability of at most ``k`` rejections under a false-rejection rate of
-``risk`` must not exceed ``delta`` divided by the number of all tests (Bonferroni). The
-strictest cutoff that passes is used; a stratum with too few labels gets no cutoff and keeps
-its documents. All of it is built-in expressions.
+``risk`` divided by the number of rules must not exceed ``delta`` divided by the number of all
+tests (Bonferroni). The strictest cutoff that passes is used; a stratum with too few labels gets
+no cutoff and keeps its documents. So with probability 1 - ``delta`` all rules together reject at
+most ``risk`` of the good documents of every stratum. All of it is built-in expressions.
 
 Nulls: a null text has no words and fails the base rule; a null stratum is a stratum of its
 own; a null label is no label; of several labels of a document the lowest counts. Repeated
@@ -29,7 +30,7 @@ GRIDS = {
     "repeat_word_share": [0.01, 0.02, 0.04, 0.08, 0.12, 0.16, 0.19],
     "mean_word_chars": [6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0],
 }
-RISK = 0.02
+RISK = 0.02  # of a stratum's good documents, all rules together
 DELTA = 0.05
 
 
@@ -147,7 +148,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, scratch: Scratch,
 
     def strictest(rule: str) -> Column:
         return F.coalesce(*[
-            F.when(binomial_at_most(F.col(f"{rule}_{i}"), F.col("n"), risk) <= level, F.lit(c))
+            F.when(binomial_at_most(
+                F.col(f"{rule}_{i}"), F.col("n"), risk / len(GRIDS)) <= level, F.lit(c))
             for i, c in enumerate(GRIDS[rule])
         ]).alias(f"cut_{rule}")
 
@@ -195,6 +197,7 @@ def sql() -> str:
         f"coalesce(m.{rule} > (SELECT min(cutoff) FROM safe s WHERE s.rule = '{rule}'"
         f" AND s.lang IS NOT DISTINCT FROM m.lang), false)" for rule in GRIDS
     )
+    rate = RISK / len(GRIDS)
     return f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (
@@ -234,9 +237,9 @@ good AS (
     GROUP BY doc_id HAVING min(quality) = 1)),
 tests AS ({tests}),
 p AS (
-  SELECT *, CASE WHEN k <= n * {RISK} THEN (
+  SELECT *, CASE WHEN k <= n * {rate} THEN (
     SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
-      + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))
+      + j * ln({rate}) + (n - j) * ln(1 - {rate})))
     FROM (SELECT unnest(range(0, k + 1)) AS j)) ELSE 1 END AS p
   FROM tests),
 safe AS (SELECT * FROM p WHERE p <= {DELTA} / (SELECT count(*) FROM p))

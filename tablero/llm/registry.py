@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from tablero.llm import (
     decontamination, item_search, language_id, line_dedup, near_dedup, ngram_join, packing,
     periodic_runs, private_data, quality_net, quality_rules, reply_trees, toxicity,
@@ -28,7 +27,6 @@ QUERIES: dict[str, Query] = {
     "op11_periodic_runs": periodic_runs.query,
     "op12_item_search": item_search.query,
     "op13_ngram_join": ngram_join.query,
-    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
