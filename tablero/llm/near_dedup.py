@@ -51,6 +51,8 @@ STARS = 2  # further stars of a level
 WORK = 1 << 22
 DEEPEST = 8
 ROWS = 500  # documents handed on at a time
+# 64-bit words of a filter that spares most other texts the shuffle, whatever there is to find.
+FILTER = 1 << 16
 # Numbers of sixteen four-bit digits sum a sketch of 256 minimum hashes up. Unlike digits of a
 # pair at the wanted similarity, and three standard errors.
 SUMS = 16
@@ -141,6 +143,22 @@ def sketches(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(run, _SKETCH)
 
 
+def _passing(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids``, and few others; nothing is shuffled but ids.
+
+    The ids are bits of ``FILTER`` words at most, so what is broadcast has that bound.
+    """
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(64 * FILTER))
+
+    bits = ids.select(place("id").alias("_p")).groupBy(
+        F.floor(F.col("_p") / 64).alias("_word")).agg(F.bit_or(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), (F.col("_p") % 64).cast("int"))).alias("_bits"))
+    at = place("doc_id")
+    return docs.join(F.broadcast(bits), (F.floor(at / 64) == F.col("_word")) & (
+        F.getbit("_bits", (at % 64).cast("int")) == 1), "left_semi")
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text") -> DataFrame:
     """(id, items) of the documents in ``ids``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,9 +166,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text") -
             yield pd.DataFrame({"id": part["doc_id"], "items": [
                 shingles(t, words).view(np.int64) for t in part["text"]]})
 
-    return docs.select("doc_id", F.col(text).alias("text")).join(
-        ids, F.col("doc_id") == F.col("id"), "left_semi"
-    ).mapInPandas(run, "id long, items array<long>")
+    some = _passing(docs.select("doc_id", F.col(text).alias("text")), ids)
+    return some.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(
+        run, "id long, items array<long>")
 
 
 def _near(a: str, b: str, percent: int) -> Column:
