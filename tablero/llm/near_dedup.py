@@ -12,8 +12,10 @@ twice again with one of its main class; confirmed links merge classes. A tree no
 has nothing more to find. In others the members outside the main class are compared with all
 members of other classes, each pair once, if these are at most ``WORK`` pairs; a node of more
 branches on. Members of the main class are never compared with each other, so large groups of
-near copies cost a few stars of comparisons. Pairs are only made where sizes and the sketches'
-short sums allow the similarity (three standard errors), and are confirmed on their full sets.
+near copies cost a few stars of comparisons. Pairs are only made where sizes, the sets' parity bitmaps and the
+sketches' short sums (three standard errors) allow the similarity, and are confirmed on their
+full sets. A bit on which two bitmaps differ stands for a shingle that only one set has, so the
+bitmaps refuse no link; they spare groups of copies just below the similarity most of their pairs.
 Classes are connected components of confirmed links, found by alternating large and small stars.
 
 Recall. With the code's odds all trees lose a pair of exactly the wanted similarity, 0.8, with
@@ -59,10 +61,13 @@ SUMS = 16
 _ODDS = (100 - PERCENT) / 100 * 15 / 16
 MOST_UNLIKE = int(16 * SUMS * _ODDS + 3 * (16 * SUMS * _ODDS * (1 - _ODDS)) ** 0.5)
 
+# Bits of a set's parity bitmap.
+BITS = 1024
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _SKETCH = ("doc_id long, n_shingles long, set_id binary, sketch array<int>, "
-           "sums array<long>")
+           "sums array<long>, bits array<long>")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -121,6 +126,13 @@ def sketch(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             np.bitwise_or.reduce(digits, axis=1).view(np.int64))
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """``BITS`` bits: whether an odd number of the items falls to each place."""
+    place = (items % np.uint64(BITS)).astype(np.int64)
+    odd = (np.bincount(place, minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The batches in pieces of ``ROWS``, so that what is made of them stays small."""
     for batch in batches:
@@ -134,9 +146,10 @@ def sketches(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
             rows = []
             for value in part["text"]:
                 items = shingles(value, words)
-                rows.append((len(items), hashlib.md5(items.tobytes()).digest(), *sketch(items))
-                            if len(items) else (0, None, None, None))
-            made = pd.DataFrame(rows, columns=["n_shingles", "set_id", "sketch", "sums"])
+                rows.append((len(items), hashlib.md5(items.tobytes()).digest(), *sketch(items),
+                             parities(items)) if len(items) else (0, None, None, None, None))
+            made = pd.DataFrame(
+                rows, columns=["n_shingles", "set_id", "sketch", "sums", "bits"])
             made.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
             yield made
 
@@ -172,22 +185,29 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text") -
 
 
 def _near(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and sums, columns ``<a>n``, ``<a>0`` and so on, allow the similarity."""
-    unlike = F.lit(0)
+    """Whether sizes, bitmaps and sums, columns ``<a>n``, ``<a>b0``, ``<a>0`` and so on, allow
+    the similarity."""
+    apart = unlike = F.lit(0)
+    for k in range(BITS // 64):
+        apart = apart + F.bit_count(F.col(f"{a}b{k}").bitwiseXOR(F.col(f"{b}b{k}")))
     for k in range(SUMS):
         x = F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))
         for shift in (1, 2):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
         unlike = unlike + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
     sizes = F.col(f"{a}n"), F.col(f"{b}n")
-    return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & (unlike <= MOST_UNLIKE)
+    # What only one set has is (1 - similarity) / (1 + similarity) of both sizes.
+    allowed = (100 - percent) * (sizes[0] + sizes[1])
+    return ((100 * F.least(*sizes) >= percent * F.greatest(*sizes))
+            & ((100 + percent) * apart <= allowed) & (unlike <= MOST_UNLIKE))
 
 
 def _side(nodes: DataFrame, name: str, prefix: str) -> DataFrame:
-    """Sizes and sums of the nodes under the names that ``_near`` takes."""
+    """Sizes, bitmaps and sums of the nodes under the names that ``_near`` takes."""
     return nodes.select(
         F.col("id").alias(name), F.col("n").alias(f"{prefix}n"),
         F.slice("sketch", 1, sum(map(len, ROOTS))).alias(f"{prefix}s"),
+        *[F.get("bits", F.lit(k)).alias(f"{prefix}b{k}") for k in range(BITS // 64)],
         *[F.get("sums", F.lit(k)).alias(f"{prefix}{k}") for k in range(SUMS)])
 
 
@@ -275,7 +295,7 @@ class Confirm:
         return self.exact(near.where(_near("_a", "_b", self.percent)).select("a", "b"))
 
     def exact(self, near: DataFrame) -> DataFrame | None:
-        """The same for distinct pairs that sizes and sums allow."""
+        """The same for distinct pairs that sizes, bitmaps and sums allow."""
         self.rounds += 1
         if self.tested is not None:
             near = near.join(self.tested, ["a", "b"], "left_anti")
@@ -317,7 +337,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     nodes = scratch.write(
         full.join(named.select(F.col("set_id").alias("_s"), "id"),
                   (F.col("doc_id") == F.col("id")) & (F.col("set_id") == F.col("_s")))
-        .select("id", F.col("n_shingles").alias("n"), "sketch", "sums")
+        .select("id", F.col("n_shingles").alias("n"), "sketch", "sums", "bits")
         .dropDuplicates(["id"]), "nodes")
     joined = Components(spark, scratch)
     confirm = Confirm(docs, nodes, scratch, words, percent, text)
