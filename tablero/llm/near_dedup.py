@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -55,8 +55,8 @@ DEEPEST = 8
 ROWS = 500  # documents handed on at a time
 # 64-bit words of a filter that spares most other texts the shuffle, whatever there is to find.
 FILTER = 1 << 16
-# Numbers of sixteen four-bit digits sum a sketch of 256 minimum hashes up. Unlike digits of a
-# pair at the wanted similarity, and three standard errors.
+# The last four bits of 256 minimum hashes, a fourth of these numbers for each bit, sum a sketch
+# up. Unlike hashes of a pair at the wanted similarity, and three standard errors.
 SUMS = 16
 _ODDS = (100 - PERCENT) / 100 * 15 / 16
 MOST_UNLIKE = int(16 * SUMS * _ODDS + 3 * (16 * SUMS * _ODDS * (1 - _ODDS)) ** 0.5)
@@ -121,9 +121,9 @@ def sketch(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i in range(0, len(items), 2048):
         part = (items[i:i + 2048] * _factors()) >> np.uint64(32)
         low = np.minimum(low, part.min(axis=1))
-    digits = (low & np.uint64(15)).reshape(SUMS, 16) << (4 * np.arange(16, dtype=np.uint64))
+    last = ((low >> np.arange(4, dtype=np.uint64)[:, None]) & np.uint64(1)).astype(np.uint8)
     return (low[:COORDINATES].astype(np.uint32).view(np.int32),
-            np.bitwise_or.reduce(digits, axis=1).view(np.int64))
+            np.packbits(last.ravel(), bitorder="little").view(np.int64))
 
 
 def parities(items: np.ndarray) -> np.ndarray:
@@ -190,11 +190,9 @@ def _near(a: str, b: str, percent: int) -> Column:
     apart = unlike = F.lit(0)
     for k in range(BITS // 64):
         apart = apart + F.bit_count(F.col(f"{a}b{k}").bitwiseXOR(F.col(f"{b}b{k}")))
-    for k in range(SUMS):
-        x = F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))
-        for shift in (1, 2):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        unlike = unlike + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    for k in range(SUMS // 4):
+        bits = [F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}")) for i in range(k, SUMS, SUMS // 4)]
+        unlike = unlike + F.bit_count(reduce(Column.bitwiseOR, bits))
     sizes = F.col(f"{a}n"), F.col(f"{b}n")
     # What only one set has is (1 - similarity) / (1 + similarity) of both sizes.
     allowed = (100 - percent) * (sizes[0] + sizes[1])
@@ -203,12 +201,18 @@ def _near(a: str, b: str, percent: int) -> Column:
 
 
 def _side(nodes: DataFrame, name: str, prefix: str) -> DataFrame:
-    """Sizes, bitmaps and sums of the nodes under the names that ``_near`` takes."""
+    """Sizes, bitmaps and sums of the nodes under the names that ``_near`` takes.
+
+    None of them is null. That they cannot be keeps the compiled condition of a join below the
+    size up to which the JVM compiles a method to machine code.
+    """
+    def sure(values: str, n: int, to: str) -> list[Column]:
+        return [F.coalesce(F.get(values, F.lit(k)), F.lit(0)).alias(f"{to}{k}") for k in range(n)]
+
     return nodes.select(
-        F.col("id").alias(name), F.col("n").alias(f"{prefix}n"),
-        F.slice("sketch", 1, sum(map(len, ROOTS))).alias(f"{prefix}s"),
-        *[F.get("bits", F.lit(k)).alias(f"{prefix}b{k}") for k in range(BITS // 64)],
-        *[F.get("sums", F.lit(k)).alias(f"{prefix}{k}") for k in range(SUMS)])
+        F.col("id").alias(name), F.coalesce("n", F.lit(0)).alias(f"{prefix}n"),
+        *sure("sketch", sum(map(len, ROOTS)), f"{prefix}s"),
+        *sure("bits", BITS // 64, f"{prefix}b"), *sure("sums", SUMS, prefix))
 
 
 def _roots(values: Column) -> Column:
@@ -389,7 +393,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             # In the first of the nodes that hold both.
             for slot in range(sum(map(len, ROOTS))):
                 first = first & ((F.col("slot") <= slot) | (
-                    F.get("_xs", F.lit(slot)) != F.get("_ys", F.lit(slot))))
+                    F.col(f"_xs{slot}") != F.col(f"_ys{slot}")))
         pairs = one.join(two, (
             (F.col("path") == F.col("_path")) & (F.col("class") != F.col("_class"))
             # Two members outside the main class meet once.
