@@ -6,17 +6,19 @@ n-grams are compared with every profile: each adds the difference of its two ran
 where the profile lacks it. The language of the smallest sum is predicted; the score is one
 minus that sum over the largest possible one.
 
-Profiles are learned from a bounded sample, ``PER_LANGUAGE`` documents of each language by
-hash order. Prediction covers every whole text. A null text, or one without a letter, is
-``und`` with score 0, as is everything when nothing was learned. Ties go to the first language
-by name; among equal counts the smaller n-gram ranks first. Repeated rows are predicted each;
-empty tables give empty results; extra columns are ignored.
+Profiles are learned from every labelled text. A task adds its texts' counts up and hands them
+on when it holds ``HELD`` n-grams. Prediction covers every whole text. A null text, or one
+without a letter, is ``und`` with score 0, as is everything when nothing was learned. Ties go to
+the first language by name; among equal counts the smaller n-gram ranks first. Repeated rows are
+learned from and predicted each; empty tables give empty results; extra columns are ignored.
 
 ``keep`` rejects texts that resemble no language. A language's cutoff follows from the scores
-of up to ``PER_LANGUAGE`` labelled documents that its profile was not learned from: it is
-``OF_LOW`` times their ``LOW`` quantile, so that the odd text among them stays as well. A
-language with fewer than ``ENOUGH`` such scores takes the cutoff of all, and without any it is
-``REJECT_BELOW``, which no cutoff falls short of.
+of all labelled documents that its profile was not learned from: it is ``OF_LOW`` times their
+``LOW`` quantile, so that the odd text among them stays as well. A language with fewer than
+``ENOUGH`` such scores takes the cutoff of all, and without any it is ``REJECT_BELOW``, which no
+cutoff falls short of. Scores are fractions over ``TOP`` times at most ``TOP``, so a language has
+a bounded number of different ones and each of ``BINS`` bins a few hundred: quantiles are read
+off exactly from the bins that hold them.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tablero.llm.shared import first_by_hash, table
+from tablero.llm.shared import table
 
 TOP = 300
-PER_LANGUAGE = 2000
+ROWS = 250  # documents counted at a time
+HELD = 1 << 18  # different n-grams that a task holds before it hands them on
 UND = "und"
 # Share of the documents that profiles are never learned from.
 FOLDS, HELD_OUT = 4, 2
@@ -39,6 +42,7 @@ FOLDS, HELD_OUT = 4, 2
 REJECT_BELOW = 0.05
 LOW, OF_LOW = 0.01, 0.6
 ENOUGH = 20
+BINS = 1 << 16
 
 
 @cache
@@ -77,27 +81,38 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
+def _added(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of several texts as one."""
+    found, at = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
+    # Sums of doubles are exact far beyond the n-grams of a task.
+    counts = np.bincount(at, np.concatenate([n for _, n in pairs]), len(found))
+    return found, counts.astype(np.int64)
+
+
+def _counted(held: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    for name, (keys, counts) in held.items():
+        yield pd.DataFrame({"lang": name, "gram": keys, "n": counts})
+
+
 def learn(docs: DataFrame, lang: str = "lang") -> dict[str, list[int]]:
     """Ranked n-grams of each language; as many as there are languages, ``TOP`` each."""
-    known = docs.select(F.col(lang).alias("lang"), "doc_id", "text").where(
+    known = docs.select(F.col(lang).alias("lang"), "text").where(
         "lang is not null and text is not null")
-    sample = first_by_hash(known.select("lang", "doc_id"), "lang", PER_LANGUAGE).select(
-        F.col("doc_id").alias("_id"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for name, part in batch.groupby("lang"):
-                pairs = [ngrams(text) for text in part["text"]]
-                keys = np.concatenate([k for k, _ in pairs])
-                found, at = np.unique(keys, return_inverse=True)
-                counts = np.bincount(at, np.concatenate([n for _, n in pairs]), len(found))
-                yield pd.DataFrame({"lang": name, "gram": found,
-                                    "n": counts.astype(np.int64)})
-
-    counted = known.join(F.broadcast(sample.distinct()), F.col("doc_id") == F.col("_id"),
-                         "left_semi").select("lang", "text").mapInPandas(
-        count, "lang string, gram long, n long").groupBy("lang", "gram").agg(
-        F.sum("n").alias("n"))
+            for first in range(0, len(batch), ROWS):
+                for name, part in batch.iloc[first:first + ROWS].groupby("lang"):
+                    held[name] = _added([*([held[name]] if name in held else []),
+                                         *map(ngrams, part["text"])])
+                if sum(len(keys) for keys, _ in held.values()) >= HELD:
+                    yield from _counted(held)
+                    held = {}
+        yield from _counted(held)
+
+    counted = known.mapInPandas(count, "lang string, gram long, n long").groupBy(
+        "lang", "gram").agg(F.sum("n").alias("n"))
     rank = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = counted.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= TOP)
     profiles: dict[str, list[int]] = {}
@@ -148,10 +163,8 @@ def with_language(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
 
 def cutoffs(docs: DataFrame, model: Profiles, lang: str = "lang") -> dict[str, float]:
     """The least score of each language, from labelled ``docs`` that were not learned from."""
-    known = docs.select(F.col(lang).alias("lang"), "doc_id", "text").where(
+    known = docs.select(F.col(lang).alias("lang"), "text").where(
         "lang is not null and text is not null")
-    sample = first_by_hash(known.select("lang", "doc_id"), "lang", PER_LANGUAGE).select(
-        F.col("doc_id").alias("_id"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,19 +173,44 @@ def cutoffs(docs: DataFrame, model: Profiles, lang: str = "lang") -> dict[str, f
             rows = [(name, score) for name, best, score in found if name == best]
             yield pd.DataFrame(rows, columns=["lang", "score"])
 
-    # Copies score the same and count once; as many rows as the sample has.
-    rows = known.join(F.broadcast(sample.distinct()), F.col("doc_id") == F.col("_id"),
-                      "left_semi").select("lang", "text").mapInPandas(
-        score, "lang string, score double").distinct().collect()
-    own: dict[str, list[float]] = {name: [] for name in model.names}
-    for row in rows:
-        own[row["lang"]].append(row["score"])
-    every = [score for some in own.values() for score in some]
-    if not every:
-        return dict.fromkeys(own, REJECT_BELOW)
-
-    return {name: max(REJECT_BELOW, OF_LOW * float(np.quantile(
-        some if len(some) >= ENOUGH else every, LOW))) for name, some in own.items()}
+    # Copies score the same and count once.
+    found = low_scores(known.mapInPandas(score, "lang string, score double").distinct())
+    if None not in found:
+        return dict.fromkeys(model.names, REJECT_BELOW)
+    every = found[None][1]
+    return {name: max(REJECT_BELOW, OF_LOW * (own if n >= ENOUGH else every))
+            for name in model.names for n, own in [found.get(name, (0, every))]}
+
+
+def low_scores(scores: DataFrame) -> dict[str | None, tuple[int, float]]:
+    """The number of ``scores`` (lang, score) and their ``LOW`` quantile, by language and, under
+    None, of all. Passes the bins' counts and the values of two bins of each on.
+    """
+    each = scores.select("lang", "score", F.floor(F.col("score") * BINS).alias("bin"))
+    every = each.withColumn("lang", F.lit(None).cast("string"))
+    each = each.unionByName(every).withColumn("lang", F.struct("lang"))
+    before = Window.partitionBy("lang").orderBy("bin").rowsBetween(
+        Window.unboundedPreceding, -1)
+    bins = each.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("rows")).select(
+        "*", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"),
+        F.sum("rows").over(Window.partitionBy("lang")).alias("n"))
+    at = LOW * (F.col("n") - 1)
+    ends = bins.where((F.col("before") <= F.ceil(at)) & (
+        F.col("before") + F.col("rows") > F.floor(at))).select(
+        F.col("lang").alias("_lang"), F.col("bin").alias("_bin"), "before", "n")
+    held: dict[str | None, list[tuple]] = {}
+    for row in each.join(ends, (F.col("lang") == F.col("_lang")) & (
+            F.col("bin") == F.col("_bin"))).select("lang", "score", "before", "n").collect():
+        held.setdefault(row["lang"][0], []).append((row["score"], row["before"], row["n"]))
+    out = {}
+    for name, rows in held.items():
+        first, n = min(row[1] for row in rows), rows[0][2]
+        some = sorted(row[0] for row in rows)
+        place = LOW * (n - 1)
+        below = int(place)
+        low, high = some[below - first], some[min(below + 1, n - 1, first + len(some) - 1) - first]
+        out[name] = n, low + (place - below) * (high - low)
+    return out
 
 
 def keep(docs: DataFrame) -> DataFrame:
