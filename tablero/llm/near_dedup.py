@@ -1,8 +1,9 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A document's set holds its distinct shingles (``words`` words each); equal sets are one node.
-Every node has a sketch of minimum hashes. The trees of ``ROOTS`` branch the nodes by
-chosen coordinates: a path picks one of ``COORDINATES`` coordinates, or two with the odds that
+Every node has a sketch of minimum hashes. The ``ROOTS`` trees deal the nodes by two
+coordinates each, as many texts share one value by chance, and branch them by chosen coordinates
+from there: a path picks one of ``COORDINATES`` coordinates, or two with the odds that
 make 1 / similarity branches on average, and sends each node to the child of its value there.
 Two sets of the wanted similarity stay together along some path of some tree almost surely;
 unlike sets part at once.
@@ -19,8 +20,8 @@ bitmaps refuse no link; they spare groups of copies just below the similarity mo
 Classes are connected components of confirmed links, found by alternating large and small stars.
 
 Recall. With the code's odds all trees lose a pair of exactly the wanted similarity, 0.8, with
-probability 4e-7 after one level, 3e-4 after three, 0.3 % after five and 1.4 % after
-``DEEPEST``, and the short sums refuse one in 700; more similar pairs are lost less. Only sets
+probability 2e-7 at the roots, 1e-5 after one further level, 4e-4 after three, 0.2 % after five and
+1 % after ``DEEPEST``, and the short sums refuse one in 700; more similar pairs are lost less. Only sets
 in a node that is still over ``WORK`` pairs meet a deeper level. After the deepest one, what is
 left is compared whatever it costs: such nodes agree in as many coordinates, which sets that
 are not linked to the chosen members hardly do.
@@ -42,13 +43,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablero.llm.shared import Scratch, classes_sql, table
+from tablero.llm.shared import Scratch, classes_sql, passing, table
 
 WORDS = 5
 PERCENT = 80
 COORDINATES = 64
-# The root's coordinates: one each of six trees, two each of two.
-ROOTS = [[0], [1], [2], [3, 4], [5], [6], [7], [8, 9]]
+ROOTS = 15  # trees; the root of each has the next two coordinates
 STARS = 2  # further stars of a level
 WORK = 1 << 22
 DEEPEST = 8
@@ -157,19 +157,8 @@ def sketches(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
 
 
 def _passing(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``, and few others; nothing is shuffled but ids.
-
-    The ids are bits of ``FILTER`` words at most, so what is broadcast has that bound.
-    """
-    def place(column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(64 * FILTER))
-
-    bits = ids.select(place("id").alias("_p")).groupBy(
-        F.floor(F.col("_p") / 64).alias("_word")).agg(F.bit_or(F.call_function(
-            "shiftleft", F.lit(1).cast("long"), (F.col("_p") % 64).cast("int"))).alias("_bits"))
-    at = place("doc_id")
-    return docs.join(F.broadcast(bits), (F.floor(at / 64) == F.col("_word")) & (
-        F.getbit("_bits", (at % 64).cast("int")) == 1), "left_semi")
+    """The rows of ``docs`` whose id is in ``ids``, and few others."""
+    return passing(docs, "doc_id", ids.select("id"), FILTER)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text") -> DataFrame:
@@ -203,22 +192,30 @@ def _near(a: str, b: str, percent: int) -> Column:
 def _side(nodes: DataFrame, name: str, prefix: str) -> DataFrame:
     """Sizes, bitmaps and sums of the nodes under the names that ``_near`` takes.
 
-    None of them is null. That they cannot be keeps the compiled condition of a join below the
-    size up to which the JVM compiles a method to machine code.
+    None of them is null. That they cannot be, and that the roots' pairs are made in a loop, keeps
+    the compiled code below the size up to which the JVM compiles a method to machine code.
     """
     def sure(values: str, n: int, to: str) -> list[Column]:
         return [F.coalesce(F.get(values, F.lit(k)), F.lit(0)).alias(f"{to}{k}") for k in range(n)]
 
-    return nodes.select(
+    return nodes.select("*", _pairs(F.col("sketch")).alias("_pairs")).select(
         F.col("id").alias(name), F.coalesce("n", F.lit(0)).alias(f"{prefix}n"),
-        *sure("sketch", sum(map(len, ROOTS)), f"{prefix}s"),
+        *sure("_pairs", ROOTS, f"{prefix}s"),
         *sure("bits", BITS // 64, f"{prefix}b"), *sure("sums", SUMS, prefix))
 
 
+def _pairs(values: Column) -> Column:
+    """The two values of each tree's root as one number."""
+    def pair(tree: Column) -> Column:
+        one, two = (F.get(values, 2 * tree + k).cast("long") for k in (0, 1))
+        return F.shiftleft(one, 32).bitwiseOR(two.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    return F.transform(F.array(*map(F.lit, range(ROOTS))), pair)
+
+
 def _roots(values: Column) -> Column:
-    """The first children: one per coordinate of the roots, in their order."""
-    return F.array(*[F.xxhash64(F.lit(tree), F.lit(at), F.get(values, F.lit(at)))
-                     for tree, some in enumerate(ROOTS) for at in some])
+    """The first children: one per tree, in their order."""
+    return F.transform(_pairs(values), lambda pair, tree: F.xxhash64(tree, pair))
 
 
 def _branches(path: Column, values: Column) -> Column:
@@ -391,7 +388,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         first = F.lit(True)
         if level == 0:
             # In the first of the nodes that hold both.
-            for slot in range(sum(map(len, ROOTS))):
+            for slot in range(ROOTS):
                 first = first & ((F.col("slot") <= slot) | (
                     F.col(f"_xs{slot}") != F.col(f"_ys{slot}")))
         pairs = one.join(two, (
