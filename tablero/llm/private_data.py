@@ -29,7 +29,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tablero.llm.shared import BLANK_RUN, LOWER, UPPER, Scratch, table
+from tablero.llm.shared import BLANK_RUN, LOWER, UPPER, Scratch, passing, table
 
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
@@ -37,6 +37,8 @@ DISCOUNT = 0.5
 DISCLOSURE = 0.9
 # 64-bit words of a filter that spares most other terms the shuffle, whatever there is to find.
 FILTER = 1 << 14
+# The same for lines and texts.
+TEXTS = 1 << 16
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 # A run of these is entered at its start or where the last match ended, never again inside.
@@ -234,21 +236,33 @@ def sanitise(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE
     scratch = Scratch(docs.sparkSession, "private-data")
     digest = F.unhex(F.md5(F.col(text)))
     _, hits = disclosing(docs, scratch, text, disclosure)
-    # The terms of each text, by its lines.
-    hidden = _lines(docs, text, digest.alias("_id")).select("_id", "d").join(
+    # The terms of each text, by its lines. Of lines and texts only those with a term, and few
+    # others, are shuffled.
+    hidden = passing(_lines(docs, text, digest.alias("_id")).select("_id", "d"), "d",
+                     hits.select("d"), TEXTS).join(
         hits, "d").select("_id", "term").distinct().groupBy("_id").agg(
         F.collect_set("term").alias("_terms"))
     hidden = scratch.write(hidden, "hidden").select(F.col("_id").alias("_i"), "_terms")
-    texts = docs.select(digest.alias("_id"), F.col(text).alias("_text")).join(
+    texts = passing(docs.select(digest.alias("_id"), F.col(text).alias("_text")), "_id",
+                    hidden.select("_i"), TEXTS).join(
         hidden, F.col("_id") == F.col("_i")).dropDuplicates(["_id"])
-    word, term = F.col("_w.word"), _term(F.col("_w.word"))
-    words = texts.select("_id", "_terms", F.posexplode(F.arrays_zip(
-        F.split("_text", BLANK_RUN, -1).alias("word"),
-        F.regexp_extract_all("_text", F.lit(BLANK_RUN), F.lit(0)).alias("gap"),
-    )).alias("_k", "_w")).select(
+    # Words, then terms: a word is hit if its term is also one of the latter.
+    none = F.lit(None).cast("string")
+    items = F.concat(
+        F.transform(F.arrays_zip(
+            F.split("_text", BLANK_RUN, -1).alias("word"),
+            F.regexp_extract_all("_text", F.lit(BLANK_RUN), F.lit(0)).alias("gap"),
+        ), lambda w: F.struct(w["word"].alias("word"), w["gap"].alias("gap"), none.alias("term"))),
+        F.transform("_terms", lambda t: F.struct(
+            none.alias("word"), none.alias("gap"), t.alias("term"))))
+    word = F.col("_w.word")
+    words = texts.select("_id", F.posexplode(items).alias("_k", "_w")).select(
         "_id", "_k", (F.length(word) + F.coalesce(F.length("_w.gap"), F.lit(0))).alias("_size"),
-        F.when(F.array_contains("_terms", term), F.struct(
-            term.alias("term"), word.alias("word"))).alias("_hit"))
+        word.alias("_word"), F.coalesce("_w.term", _term(word)).alias("_term"))
+    wanted = F.max(F.col("_word").isNull()).over(Window.partitionBy("_id", "_term"))
+    words = words.withColumn("_wanted", wanted).where("_word is not null").select(
+        "_id", "_k", "_size", F.when(F.col("_wanted"), F.struct(
+            F.col("_term").alias("term"), F.col("_word").alias("word"))).alias("_hit"))
     before = Window.partitionBy("_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     lead = F.instr(_lowered(F.col("_hit.word")), F.col("_hit.term")) - 1
     start = (F.coalesce(F.sum("_size").over(before), F.lit(0)) + lead).cast("int")
@@ -259,12 +273,14 @@ def sanitise(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE
     others = with_spans(texts.select("_id", "_text"), "_text").select("_id", F.inline("spans"))
     # A term is clear if no base span that begins before it ends in or after it, nor any begins
     # inside it.
-    order = Window.partitionBy("_id").orderBy("start", "kind")
+    # Both are running values, so many spans in one text cost their number only.
+    earlier = Window.partitionBy("_id").orderBy("start", "kind").rowsBetween(
+        Window.unboundedPreceding, -1)
+    later = Window.partitionBy("_id").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(
+        Window.unboundedPreceding, -1)
     is_base = F.col("kind") < len(KINDS)
-    reached = F.max(F.when(is_base, F.col("end"))).over(
-        order.rowsBetween(Window.unboundedPreceding, -1))
-    following = F.min(F.when(is_base, F.col("start"))).over(
-        order.rowsBetween(1, Window.unboundedFollowing))
+    reached = F.max(F.when(is_base, F.col("end"))).over(earlier)
+    following = F.min(F.when(is_base, F.col("start"))).over(later)
     clear = terms.unionByName(others).select("*", reached.alias("_r"), following.alias("_f")).where(
         ~is_base & (F.coalesce("_r", F.lit(0)) <= F.col("start"))
         & (F.coalesce("_f", F.col("end")) >= F.col("end")))
