@@ -39,6 +39,8 @@ DISCLOSURE = 0.9
 FILTER = 1 << 14
 # The same for lines and texts.
 TEXTS = 1 << 16
+# 64-bit words of the places that a term's lines fall to.
+PLACES = 4
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 # A run of these is entered at its start or where the last match ended, never again inside.
@@ -217,7 +219,20 @@ def disclosing(docs: DataFrame, scratch: Scratch, text: str = "text",
         pairs.join(least, F.col("term") == F.col("_t")).where(revealed("least") >= disclosure)
         .drop("_t", "least"), "pairs")
     wanted = scratch.write(pairs.select("term").distinct(), "wanted")
-    some = lines.select("d", F.explode(_terms("line")).alias("term")).where(_bits(wanted))
+    every = lines.select("d", F.explode(_terms("line")).alias("term"))
+    # Different places of a term's lines bound their number from below, and are gathered before
+    # the shuffle: frequent terms end here, and of the others each line is counted.
+    place = F.pmod(F.xxhash64("d"), F.lit(64 * PLACES))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    shown = every.where(_bits(wanted)).groupBy(F.col("term").alias("_t")).agg(*[
+        F.bit_or(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("long")))
+        .alias(f"_m{k}") for k in range(PLACES)]).select("_t", reduce(
+            Column.__add__, [F.bit_count(f"_m{k}") for k in range(PLACES)]).alias("shown"))
+    pairs = scratch.write(
+        pairs.join(shown, F.col("term") == F.col("_t")).where(revealed("shown") >= disclosure)
+        .drop("_t", "shown"), "likely")
+    wanted = scratch.write(pairs.select("term").distinct(), "rare")
+    some = every.where(_bits(wanted))
     held = scratch.write(some.join(wanted, "term", "left_semi").distinct(), "held")
     counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     found = scratch.write(
